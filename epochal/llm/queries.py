@@ -5,16 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, sharding, simhash
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.byte_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.grouped(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, most=3)
+    return out.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_byte_shards": op2_byte_shards,
+    "op6_simhash": op6_simhash,
 }
 
 ORACLES: dict[str, str] = {
