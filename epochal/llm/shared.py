@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a lookup table that may be broadcast whole: at some 100 bytes a row, 20 MB at most.
@@ -69,3 +69,25 @@ def looked_up(rows: DataFrame, index: DataFrame, key: str, weight: str, bound: i
     by_hot = rows.join(F.broadcast(hot), key)
     by_cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
     return by_hot.unionByName(by_cold)
+
+
+def text_digest(doc_id: Column, text: Column) -> Column:
+    """Names a row by its doc_id and text; nulls have names of their own."""
+    own = F.when(text.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), text))
+    return F.unhex(F.sha2(F.concat_ws("\x00", F.coalesce(doc_id.cast("string"), F.lit("null")), own), 256))
+
+
+def by_text(docs: DataFrame) -> DataFrame:
+    """docs' doc_id, lang and text, with the digest that names the row."""
+    return pick(docs, "doc_id", "lang", "text").withColumn("digest", text_digest(F.col("doc_id"), F.col("text")))
+
+
+def without(docs: DataFrame, dropped: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """docs less the rows whose digest is in the written table ``dropped``, which is broadcast only if small."""
+    names = docs.columns
+    rows = positional(docs)
+    rows = rows.withColumn("digest", text_digest(F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")))
+    gone = dropped.select("digest")
+    few = gone.count() <= bound
+    kept = rows.join(F.broadcast(gone) if few else gone.distinct(), "digest", "left_anti")
+    return kept.select([F.col(f"c{i}") for i in range(len(names))]).toDF(*names)
