@@ -138,8 +138,12 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield batch.slice(at, len(some)), some
 
 
-def encoded(docs: DataFrame, ranks_path: str, pattern: str, offsets: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, n_tokens and ids of every document, and with ``offsets`` each token's start and end characters."""
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, offsets: bool = False, check: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, n_tokens and ids of every document.
+
+    With ``offsets``, each token's start and end characters in the text; with
+    ``check``, whether the ids decode to the bytes of the text.
+    """
     ranks, rows = Path(ranks_path).read_bytes(), pick(docs, *keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +153,12 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, offsets: bool = Fals
             columns = [*batch.columns[: len(keep)], pa.array([len(ids) for ids, _ in found], pa.int64()), pa.array([ids for ids, _ in found], pa.list_(pa.int32()))]
             if offsets:
                 columns += [pa.array([[o[k] for o in spans] for _, spans in found], pa.list_(pa.int64())) for k in (0, 1)]
+            if check:
+                columns.append(pa.array([coder.decode_bytes(ids) == text.encode("utf-8", "surrogatepass") for (ids, _), text in zip(found, texts)]))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = [*keep, "n_tokens", "ids", *(["starts", "ends"] if offsets else [])]
-    schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep) + ", n_tokens long, ids array<int>" + ", starts array<long>, ends array<long>" * offsets
+    names = [*keep, "n_tokens", "ids", *["starts", "ends"] * offsets, *["round_trip"] * check]
+    schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep) + ", n_tokens long, ids array<int>" + ", starts array<long>, ends array<long>" * offsets + ", round_trip boolean" * check
     return rows.mapInArrow(run, schema)
 
 

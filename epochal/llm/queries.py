@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, licenses, quality, secrets, sharding, simhash, warc
+from . import bpe, exact_dedup, html_text, licenses, mixing, quality, secrets, sharding, simhash, warc
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op4_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"), mixing.Target(max_repeats=4.0))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_shards": op2_byte_shards,
     "op3_html_text": op3_html_text,
+    "op4_temperature_mix": op4_temperature_mix,
     "op5_license_scan": op5_license_scan,
     "op6_simhash": op6_simhash,
     "op7_byte_bpe": op7_byte_bpe,

@@ -82,12 +82,20 @@ def by_text(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "lang", "text").withColumn("digest", text_digest(F.col("doc_id"), F.col("text")))
 
 
-def without(docs: DataFrame, dropped: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """docs less the rows whose digest is in the written table ``dropped``, which is broadcast only if small."""
+def without(docs: DataFrame, dropped: DataFrame, single: DataFrame | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """docs less the rows whose digest is in the written table ``dropped``, which is broadcast only if small.
+
+    Of each digest in the written table ``single``, one row stays.
+    """
     names = docs.columns
     rows = positional(docs)
     rows = rows.withColumn("digest", text_digest(F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")))
-    gone = dropped.select("digest")
-    few = gone.count() <= bound
-    kept = rows.join(F.broadcast(gone) if few else gone.distinct(), "digest", "left_anti")
-    return kept.select([F.col(f"c{i}") for i in range(len(names))]).toDF(*names)
+
+    def small(table: DataFrame) -> DataFrame:
+        return F.broadcast(table.select("digest")) if table.count() <= bound else table.select("digest").distinct()
+
+    out = rows.join(small(dropped), "digest", "left_anti")
+    if single is not None and not single.isEmpty():
+        twins = small(single)
+        out = out.join(twins, "digest", "left_anti").unionByName(out.join(twins, "digest", "left_semi").dropDuplicates(["digest"]))
+    return out.select([F.col(f"c{i}") for i in range(len(names))]).toDF(*names)

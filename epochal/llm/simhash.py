@@ -47,24 +47,34 @@ HEAVY = 2048
 BOUND = 1 << 18
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The SimHash of one text: lower-cased ASCII, words between ASCII white space, XXH64 of word shingles."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of the word shingles of one text, repeats included: lower-cased ASCII, words between ASCII white space."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends, at = [], -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
     starts = [0, *[e + 1 for e in ends[:-1]]]
-    ends = ends[width - 1 :] or [len(joined)]
-    digest = xxhash.xxh64_intdigest
-    ones, n = np.zeros(64, np.int64), len(ends)
-    for k in range(0, n, 65536):  # bounded memory for texts of any length
-        h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[k : k + 65536], ends[k : k + 65536])], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    digest, ends = xxhash.xxh64_intdigest, ends[width - 1 :] or [len(joined)]
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(ends))
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The words of the bits that are set in over half the rows of an (n, k) array of 64-bit words."""
+    ones, (n, k) = np.zeros(hashes.shape[1] * 64, np.int64), hashes.shape
+    for at in range(0, n, 65536 // k):  # bounded memory for texts of any length
+        part = np.ascontiguousarray(hashes[at : at + 65536 // k]).astype("<u8", copy=False)
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The SimHash of one text."""
+    hashes = shingle_hashes(text, width)
+    return int(majority(hashes.reshape(-1, 1))[0]) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -133,27 +143,29 @@ def _packed(fp: np.ndarray, places: list[int]) -> np.ndarray:
     return out
 
 
-def _joined(key: np.ndarray, sub: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the pairs within ``most`` bits, bucket by bucket; the rows stand in bucket order."""
+def _joined(bucket: np.ndarray, fp: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """Row pairs of a spanning forest of the links within ``most`` bits, bucket by bucket.
+
+    bucket has a number for each row, equal rows together; fp has a row of 64-bit words for each row.
+    """
     n = len(fp)
     root = np.arange(n)
-    left, right = [], []
+    left: list[int] = []
+    right: list[int] = []
     live = np.arange(n)
     for step in range(1, n):
         live = live[live + step < n]
-        live = live[(key[live] == key[live + step]) & (sub[live] == sub[live + step])]
+        live = live[bucket[live] == bucket[live + step]]
         if not len(live):
             break
         far = live + step
-        near = (np.bitwise_count(fp[live] ^ fp[far]) <= most) & (root[live] != root[far])
-        for a, b in zip(live[near].tolist(), far[near].tolist()):
-            ra, rb = a, b
-            while root[ra] != ra:
-                root[ra] = root[root[ra]]
-                ra = root[ra]
-            while root[rb] != rb:
-                root[rb] = root[root[rb]]
-                rb = root[rb]
+        ask = root[live] != root[far]
+        if not ask.any():
+            continue
+        some, other = live[ask], far[ask]
+        near = np.bitwise_count(fp[some] ^ fp[other]).sum(axis=1) <= most
+        for a, b in zip(some[near].tolist(), other[near].tolist()):
+            ra, rb = _root(root, a), _root(root, b)
             if ra != rb:
                 root[max(ra, rb)] = min(ra, rb)
                 left.append(a)
@@ -161,7 +173,14 @@ def _joined(key: np.ndarray, sub: np.ndarray, fp: np.ndarray, most: int) -> tupl
         if near.any():
             while not np.array_equal(root, up := root[root]):
                 root = up
-    return fp[np.array(left, np.int64)], fp[np.array(right, np.int64)]
+    return left, right
+
+
+def _root(root: np.ndarray, a: int) -> int:
+    while root[a] != a:
+        root[a] = root[root[a]]
+        a = root[a]
+    return a
 
 
 def _linker(most: int, heavy: int):
@@ -171,15 +190,16 @@ def _linker(most: int, heavy: int):
         key, sub, fp = rows
         edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])])
         size = np.diff(np.r_[edge, len(key)])
-        own = np.repeat(size, size)
+        own, bucket = np.repeat(size, size), np.repeat(np.arange(len(size)), size)
         for again, chosen in ((0, (own > 1) & (own <= heavy)), (1, own > heavy)):
             if not chosen.any():
                 continue
             if again:
                 yield key[chosen], fp[chosen], np.ones(chosen.sum(), np.int8)
             else:
-                a, b = _joined(key[chosen], sub[chosen], fp[chosen].view(np.uint64), most)
-                yield a.view(np.int64), b.view(np.int64), np.zeros(len(a), np.int8)
+                ids = fp[chosen]
+                a, b = _joined(bucket[chosen], ids.view(np.uint64).reshape(-1, 1), most)
+                yield ids[a], ids[b], np.zeros(len(a), np.int8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.zeros((3, 0), np.int64)
