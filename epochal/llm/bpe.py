@@ -25,6 +25,7 @@ import base64
 import codecs
 import functools
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -37,8 +38,10 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from .shared import pick
 
+#: Tasks are the parallelism here; the library's own threads would contend with those of other tasks.
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
 #: Characters that go to the library at once: an encoding takes some 100 bytes of memory a token.
-STRETCH = 1 << 19
+STRETCH = 1 << 18
 _CUT = re.compile(r"(?<=\S) ")
 
 
@@ -62,7 +65,7 @@ class ByteBpe:
         for token, _ in sorted(rank.items(), key=lambda x: x[1]):
             splits = [(rank[token[:i]], rank[token[i:]]) for i in range(1, len(token)) if token[:i] in rank and token[i:] in rank]
             merges += [(name[a], name[b]) for a, b in sorted(splits)]
-        self.tokenizer = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
+        self.tokenizer = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True, cache_capacity=0))
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.bytes_of = {number: token for token, number in rank.items()}
 
