@@ -130,12 +130,13 @@ def measured(docs: DataFrame, limits: Limits = Limits(), extra: tuple[str, ...]
     rows = pick(docs, "doc_id", "lang", "text", *extra)
     kept = ["doc_id", "lang", *extra]
     numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    names = [*kept, "kind", *numbers, "base_failed", "classes", "common"]
+    names = [*kept, "kind", *numbers, "base_failed", "classes", "common", "classes_n", "common_n"]
 
     def table(columns: list[pa.Array], kind: int, some: list[tuple]) -> pa.RecordBatch:
         *counts, failed, classes, common = zip(*some)
         columns = [*columns, pa.array([kind] * len(some), pa.int8()), *[pa.array(x, pa.int64()) for x in counts], pa.array(failed, pa.bool_())]
         columns += [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(x[0]), pa.int32()), pa.array(np.concatenate(x))) for x in (classes, common)]
+        columns += [pa.array([int(y.sum()) for y in x], pa.int64()) for x in (classes, common)]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,13 +168,13 @@ def measured(docs: DataFrame, limits: Limits = Limits(), extra: tuple[str, ...]
                     yield from passed_on()
         yield from passed_on()
 
-    schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in kept) + ", kind tinyint, " + ", ".join(f"{n} long" for n in numbers) + ", base_failed boolean, classes array<long>, common array<long>"
+    schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in kept) + ", kind tinyint, " + ", ".join(f"{n} long" for n in numbers) + ", base_failed boolean, classes array<long>, common array<long>, classes_n long, common_n long"
     return rows.mapInArrow(run, schema).withColumn("tongue", F.coalesce("lang", F.lit("")))
 
 
 def _shares(histogram: str) -> Column:
-    total = F.aggregate(histogram, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.transform(histogram, lambda x: x / F.when(total > 0, total).cast("double"))
+    total = F.col(f"{histogram}_n").cast("double")
+    return F.transform(histogram, lambda x: x / F.when(total > 0, total))
 
 
 def references(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -211,7 +212,7 @@ def judged(docs: DataFrame, limits: Limits = Limits(), extra: tuple[str, ...] =
     enough = F.col("n_words") >= limits.min_words
     rows = rows.withColumn("word_distance", F.when(enough & F.col("common_ref").isNotNull(), js_distance(_shares("common"), F.col("common_ref"))))
     far = (F.col("char_distance") > limits.max_char_distance) | (F.col("char_distance") + F.col("word_distance") > limits.max_sum)
-    return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("classes", "common", "classes_ref", "common_ref", "tongue", "docs", "reference_docs", "kind")
+    return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("classes", "common", "classes_n", "common_n", "classes_ref", "common_ref", "tongue", "docs", "reference_docs", "kind")
 
 
 def quality_filtered(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
