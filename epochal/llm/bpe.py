@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from .shared import pick
+from .shared import mapped, pick
 
 #: Tasks are the parallelism here; the library's own threads would contend with those of other tasks.
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -162,7 +162,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, offsets: bool = Fals
 
     names = [*keep, "n_tokens", "ids", *["starts", "ends"] * offsets, *["round_trip"] * check]
     schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep) + ", n_tokens long, ids array<int>" + ", starts array<long>, ends array<long>" * offsets + ", round_trip boolean" * check
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def decoded(rows: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -177,7 +177,7 @@ def decoded(rows: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "bytes", "text"])
 
     schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep) + ", bytes binary, text string"
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -196,7 +196,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             columns.append(pa.array([hashlib.sha256(coder.decode_bytes(x.tolist())).hexdigest() for x in ids]))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def token_counts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

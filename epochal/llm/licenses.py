@@ -27,7 +27,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import pick
+from .shared import mapped, pick
 
 #: The base phrases and their labels.
 BASE = (
@@ -198,4 +198,4 @@ def scanned(docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(zip(*out), kinds)]], names=names)
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections string")
+    return mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections string")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, by_text, looked_up, without, written
+from .shared import BROADCAST_ROWS, by_text, looked_up, mapped, without, written
 from .simhash import HEAVY, _joined, components, majority, shingle_hashes
 
 WIDTH, BLOCKS, WORDS = 5, 16, 8
@@ -87,7 +87,7 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     names = ["doc_id", "digest", "whole", *[f"f{k}" for k in range(WORDS)], "keys"]
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, whole long, " + ", ".join(f"f{k} long" for k in range(WORDS)) + ", keys array<long>"
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def _linker(most: int):
@@ -129,7 +129,7 @@ def links(nodes: DataFrame, most: int = MOST, heavy: int = HEAVY, bound: int = B
     pairs = pairs.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"), "id")
     buckets = members.filter("chunks = 1").select("key", "id").unionByName(pairs).join(nodes.select("id", *words), "id")
     buckets = buckets.select("key", "id", *words).repartition("key").sortWithinPartitions("key", "id")
-    found = buckets.mapInArrow(_linker(most), "a long, b long")
+    found = mapped(buckets, _linker(most), "a long, b long")
     return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_text, looked_up, pick, without, written
+from .shared import by_text, looked_up, mapped, pick, without, written
 
 #: Common words of four languages, the slots of the word histogram.
 COMMON_WORDS = (
@@ -169,7 +169,7 @@ def measured(docs: DataFrame, limits: Limits = Limits(), extra: tuple[str, ...]
         yield from passed_on()
 
     schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in kept) + ", kind tinyint, " + ", ".join(f"{n} long" for n in numbers) + ", base_failed boolean, classes array<long>, common array<long>, classes_n long, common_n long"
-    return rows.mapInArrow(run, schema).withColumn("tongue", F.coalesce("lang", F.lit("")))
+    return mapped(rows, run, schema).withColumn("tongue", F.coalesce("lang", F.lit("")))
 
 
 def _shares(histogram: str) -> Column:

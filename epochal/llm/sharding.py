@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import pick, written
+from .shared import mapped, pick, written
 
 ORDER = ("doc_id", "size", "text_crc32")
 
@@ -47,7 +47,7 @@ def byte_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     narrow = pick(docs, "doc_id", "text").select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
     narrow = written(narrow)  # so that sampling for the ranges does not read the texts again
     part = narrow.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("part", F.spark_partition_id())
-    part = written(part.mapInArrow(_running, part.schema.simpleString()[7:-1].replace(":", " ") + ", bytes_before long, rows_before long"))
+    part = written(mapped(part, _running, part.schema.simpleString()[7:-1].replace(":", " ") + ", bytes_before long, rows_before long"))
     totals = part.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     offsets = totals.select("part", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("bytes_at"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_at"))

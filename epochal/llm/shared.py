@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import removed, shared_dir, written
+
+__all__ = ["BROADCAST_ROWS", "by_text", "looked_up", "mapped", "pick", "positional", "removed", "shared_dir", "text_digest", "without", "written"]
+
 #: Rows of a lookup table that may be broadcast whole: at some 100 bytes a row, 20 MB at most.
 BROADCAST_ROWS = 200_000
 #: A key counts as hot from this share of all rows, so there are at most 1 / HOT_SHARE hot keys.
@@ -29,28 +33,17 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return positional(df).select([F.col(f"c{i}").alias(n) for i, n in zip(at, names)])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder path below spark.checkpoint.dir; where that is unset, as in tests, below a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="epochal-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", base)
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/epochal-{uuid.uuid4().hex}"
+#: Bytes of an Arrow batch between Spark and Python: what a task holds beside its heap stays a small multiple of this.
+BATCH_BYTES = 4 << 20
 
 
-def written(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: lineage ends here, and lost executors cost nothing twice."""
-    path = path or shared_dir(df.sparkSession)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """rows.mapInArrow in batches of some BATCH_BYTES: a batch of 10,000 long texts would not fit beside a heap.
 
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a shared folder that is no longer read."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    The size is a setting of the session and is left at this value.
+    """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
 
 
 def looked_up(rows: DataFrame, index: DataFrame, key: str, weight: str, bound: int = BROADCAST_ROWS) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, looked_up, pick, written
+from .shared import BROADCAST_ROWS, looked_up, mapped, pick, written
 
 #: Width of the six blocks, from the lowest bit up.
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     rows = pick(docs, "doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _bits(value: Column, spans: list[tuple[int, int]]) -> Column:
@@ -231,7 +231,7 @@ def _batches(found) -> Iterator[pa.RecordBatch]:
 
 def _linked(buckets: DataFrame, most: int, heavy: int) -> DataFrame:
     by = ("key", "sub", "fp")
-    return buckets.select(*by).repartition("key", "sub").sortWithinPartitions(*by).mapInArrow(_linker(most, heavy), "a long, b long, again tinyint")
+    return mapped(buckets.select(*by).repartition("key", "sub").sortWithinPartitions(*by), _linker(most, heavy), "a long, b long, again tinyint")
 
 
 def links(nodes: DataFrame, most: int = 3, heavy: int = HEAVY) -> DataFrame:
@@ -245,7 +245,7 @@ def links(nodes: DataFrame, most: int = 3, heavy: int = HEAVY) -> DataFrame:
     zero = F.lit(0).cast("long").alias("sub")
     first = written(_linked(rows.join(F.broadcast(hot), "key", "left_anti").select("key", zero, "fp"), most, heavy))
     large = first.filter("again = 1").select(F.col("a").alias("key"), F.col("b").alias("fp")).unionByName(rows.join(F.broadcast(hot), "key", "left_semi").select("key", "fp"))
-    finer = large.select("key", "fp").mapInArrow(_finer, "key long, sub long, fp long")
+    finer = mapped(large.select("key", "fp"), _finer, "key long, sub long, fp long")
     second = _linked(finer, most, BOUND)
     found = first.filter("again = 0").select("a", "b").unionByName(second.select("a", "b"))
     return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

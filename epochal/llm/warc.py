@@ -42,7 +42,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, looked_up, pick, shared_dir, written
+from .shared import BROADCAST_ROWS, looked_up, mapped, pick, shared_dir, written
 
 LEAST_BYTES = 1000
 MEMBER_BYTES, ARCHIVE_BYTES = 16 << 20, 64 << 20
@@ -247,7 +247,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
         sink.close()
         return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([out.records], pa.int64())], names=["path", "records"])
 
-    return written(pages.mapInArrow(run, "path string, records long"))
+    return written(mapped(pages, run, "path string, records long"))
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                         yield table(some)
 
     archives = manifest.count()
-    return manifest.select("path").repartition(max(1, archives)).mapInArrow(run, schema)
+    return mapped(manifest.select("path").repartition(max(1, archives)), run, schema)
 
 
 def archived(pages: DataFrame, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False, bound: int = BROADCAST_ROWS) -> DataFrame:
