@@ -86,14 +86,14 @@ FAMILIES = (
     ("cc-by-nc-nd", "CC-BY-NC-ND-4.0", "cc", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] 0)?"),
 )
 
-#: Role, priority, expression; NAME and SPDX stand for the family's.
+#: Role, priority, expression; NAME and SPDX stand for the family's, and FULL for its name with the word license.
 PHRASINGS = (
     ("identifier", 95, "spdx license identifier SPDX"),
     ("grant", 90, "(?:licensed|released|distributed|available|published|provided|redistributed)(?: to you)? under (?:the )?(?:terms of )?(?:the )?NAME(?: licen[cs]e)?"),
     ("terms", 85, "(?:subject to|governed by|covered by|in accordance with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?NAME(?: licen[cs]e)?"),
     ("choice", 80, "(?:at your option|either|dual licensed)(?: under)?(?: the)? NAME(?: licen[cs]e)?"),
-    ("pointer", 70, "(?:see|read|copy of|found in|according to) (?:the )?NAME(?: licen[cs]e)(?: for details| file| text)?"),
-    ("title", 60, "(?:the )?NAME licen[cs]e(?: agreement)?"),
+    ("pointer", 70, "(?:see|read|copy of|found in|according to) (?:the )?FULL(?: for details| file| text)?"),
+    ("title", 60, "(?:the )?FULL(?: agreement)?"),
     ("code", 55, "licen[cs]e(?:d|s)? (?:is |type |name )?NAME"),
 )
 
@@ -126,11 +126,12 @@ def rules() -> tuple[Rule, ...]:
     out = [Rule(label, "base", 100, (phrase.split()[2 if label == "mit" else 0],), _bounded(phrase)) for phrase, label in BASE]
     for role, priority, phrasing in PHRASINGS:
         for label, spdx, keyword, name in FAMILIES:
+            full = name if "license" in name.replace("(?: license)?", "") else f"{name} licen[cs]e"
             words = re.sub("[^a-z0-9]+", " ", spdx.lower())
             keywords = (keyword,) if role != "identifier" else (words.split()[0],)
             if keyword == "cc" and role != "identifier":
                 keywords = ("cc", "creative")
-            out.append(Rule(label, role, priority, keywords, _bounded(phrasing.replace("NAME", name).replace("SPDX", words))))
+            out.append(Rule(label, role, priority, keywords, _bounded(phrasing.replace("FULL", full).replace("NAME", name).replace("SPDX", words))))
     return tuple(out)
 
 
