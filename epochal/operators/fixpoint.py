@@ -3,14 +3,16 @@
 Each round applies the step to the rows that the last round found, drops what is
 known by an anti join, and writes the rest to the shared folder. Rounds are files
 beside each other, so nothing is written twice, no lineage grows, and a lost
-executor costs one round. Only the count of a round comes to the driver.
+executor costs one round. Only the count of a round comes to the driver, and the
+job that writes the round counts it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from ..plans.refusal import NonTerminating, Refused
 from ..sources.storage import shared_dir
@@ -34,9 +36,9 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], measure: i
     spark, names, folder = seed.sparkSession, seed.columns, shared_dir(seed.sparkSession)
 
     def kept(df: DataFrame, number: int) -> tuple[DataFrame, int]:
-        df.write.parquet(f"{folder}/round={number}")
-        out = spark.read.schema(seed.schema).parquet(f"{folder}/round={number}")
-        return out, out.count()
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{folder}/round={number}")
+        return spark.read.schema(seed.schema).parquet(f"{folder}/round={number}"), seen.get["rows"]
 
     fresh, found = kept(seed.distinct(), 0)
     tail = [found]
