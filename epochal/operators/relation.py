@@ -20,6 +20,7 @@ from ..plans.nodes import Node
 from ..plans.refusal import Refused
 from . import fixpoint as _fixpoint
 from . import subquery as _subquery
+from . import windows as _windows
 
 WINDOW_FUNCTIONS = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}
 
@@ -251,11 +252,20 @@ class Rel:
 
     # --- windows ---
 
+    def spread_window(self, function: str, x: str | None = None, partition: tuple[str, ...] = (), order: tuple[tuple[str, str], ...] = (), name: str | None = None) -> Rel:
+        """window() for partitions that no task can hold; order is pairs of column and asc or desc."""
+        if function == "row_number":
+            out = _windows.spread_row_number(self.df, partition, order, name or function)
+        else:
+            out = _windows.spread(self.df, function, x, partition, order, name or function)
+        return self._next(out, "window")
+
     def window(self, function: str, x=None, partition: tuple[str, ...] = (), order: tuple = (), name: str | None = None) -> Rel:
         """One more column: a rank, or an aggregate over the rows up to the current one and its peers.
 
         Rows of row_number that tie are numbered in the order of all columns.
-        Without an order an aggregate covers the partition.
+        Without an order an aggregate covers the partition. A partition is one
+        task's work; for very large ones there is spread_window().
         """
         spec = Window.partitionBy(*partition)
         if function in WINDOW_FUNCTIONS:

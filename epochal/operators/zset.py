@@ -87,6 +87,39 @@ def anti(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return weighted(a).join(_present(b, on), on, "left_anti")
 
 
+def _matched(b: DataFrame, on: dict[str, str]) -> DataFrame:
+    """The keys of positive total weight in b, under the outer names."""
+    return _present(b.select(*[F.col(v).alias(k) for k, v in on.items()], W), list(on))
+
+
+def exists(a: DataFrame, b: DataFrame, on: dict[str, str], negated: bool = False) -> DataFrame:
+    """Rows of a, own weights, with (or without) present rows of b; on is outer to inner names."""
+    return consolidated(weighted(a)).join(_matched(consolidated(weighted(b)), on), list(on), "left_anti" if negated else "left_semi")
+
+
+def in_(a: DataFrame, probe: str, b: DataFrame, value: str, on: dict[str, str] | None = None) -> DataFrame:
+    return exists(a, b, {**(on or {}), probe: value})
+
+
+def not_in(a: DataFrame, probe: str, b: DataFrame, value: str, on: dict[str, str] | None = None) -> DataFrame:
+    """Rows of a whose probe is known and is not among the present inner values, none of which is null."""
+    rows, inner = weighted(a).filter(F.col(probe).isNotNull()), consolidated(weighted(b))
+    nulls = inner.filter(F.col(value).isNull())
+    if on:
+        rows = exists(rows, nulls, on, negated=True)
+    else:
+        some = nulls.filter(F.col(W) > 0).agg(F.count(F.lit(1)).alias("_n"))
+        rows = rows.join(F.broadcast(some)).filter("_n = 0").drop("_n")  # one row
+    return exists(rows, inner, {**(on or {}), probe: value}, negated=True)
+
+
+def scalar(a: DataFrame, b: DataFrame, on: dict[str, str], function: str, value: str, name: str) -> DataFrame:
+    """a with an aggregate of its matching inner rows, null where there are none."""
+    inner = weighted(b).select(*[F.col(v).alias(k) for k, v in on.items()], F.col(value).alias("_x"), W)
+    grouped = aggregate(inner, list(on), **{name: (function, "_x")})
+    return consolidated(weighted(a)).join(grouped, list(on), "left")
+
+
 def aggregate(z: DataFrame, keys: list[str], **aggs: tuple[str, str]) -> DataFrame:
     """Grouped aggregates, name=(function, column): sum and count weigh, min, max and avg take rows of positive weight."""
     z, w = weighted(z), F.col(W)

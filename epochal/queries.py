@@ -359,6 +359,18 @@ def running_sum(spark, d):
     return longs(rel(spark, d).window("sum", "amt", ("acct", "cur"), ("value_date",), "running").select("idem", "acct", "running").df, "running")
 
 
+@query(WITH + "SELECT idem, acct, CAST(sum(amt) OVER (PARTITION BY cur ORDER BY value_date DESC) AS BIGINT) AS running FROM postings")
+def running_sum_spread(spark, d):
+    return longs(rel(spark, d).spread_window("sum", "amt", ("cur",), (("value_date", "desc"),), "running").select("idem", "acct", "running").df, "running")
+
+
+@query("SELECT p_partkey, rank() OVER (ORDER BY p_size DESC) AS r, dense_rank() OVER (ORDER BY p_size) AS d, row_number() OVER (ORDER BY p_brand, p_partkey) AS n FROM part")
+def ranks_spread(spark, d):
+    rows = source(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+    rows = rows.spread_window("rank", order=(("p_size", "desc"),), name="r").spread_window("dense_rank", order=(("p_size", "asc"),), name="d")
+    return rows.select("p_partkey", "p_brand", "r", "d").spread_window("row_number", order=(("p_brand", "asc"), ("p_partkey", "asc")), name="n").select("p_partkey", "r", "d", "n").df
+
+
 @query("SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, min(o_orderkey) OVER (PARTITION BY o_custkey) AS low, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey) // count(*) OVER (PARTITION BY o_custkey) AS BIGINT) AS mean FROM orders")
 def partition_total(spark, d):
     rows = source(spark, d, "orders")

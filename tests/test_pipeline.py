@@ -215,3 +215,29 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     spark.range(100).select(F.col("id").alias("k"), *[(F.col("id") * i).alias(f"c{i}") for i in range(1, 9)]).write.parquet(path)
     plan = Rel.source(spark.read.parquet(path), "wide", ("k",)).get(7).select("k", "c1").df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<k:bigint,c1:bigint>" in plan and "PushedFilters" in plan and "EqualNullSafe(k,7)" in plan
+
+
+@pytest.mark.parametrize("function", ["sum", "count", "min", "max", "rank", "dense_rank", "row_number"])
+@pytest.mark.parametrize("partition", [("g",), ()])
+def test_spread_windows_are_windows(spark, function, partition):
+    data = [(None if i % 9 == 0 else i % 2, None if i % 7 == 0 else i * 5 % 11, None if i % 5 == 0 else i % 13, i // 2) for i in range(120)]
+    r = Rel.source(spark.createDataFrame(data, "g long, o long, x long, id long").repartition(5), "r")
+    for way in ("asc", "desc"):
+        key = F.col("o").desc() if way == "desc" else F.col("o").asc()
+        x = None if function in ("rank", "dense_rank", "row_number") else "x"
+        plain = r.window(function, x, partition, (key,), "w")
+        wide = r.spread_window(function, x, partition, (("o", way),), "w")
+        assert rows(wide.select("g", "o", "x", "id", F.col("w").cast("long"))) == rows(plain.select("g", "o", "x", "id", F.col("w").cast("long")))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from epochal.__main__ import main
+
+    spark.createDataFrame([(1, 10, 0), (2, 20, 1)], "k long, v long, epoch long").write.parquet(f"{tmp_path}/t")
+    table = ["--table", f"t={tmp_path}/t:epoch"]
+    assert main(["check", "--strict", "select k from t", *table]) == 0
+    assert main(["check", "--strict", "select case when k = 1 then 1 else 0 end from t", *table]) == 1
+    assert main(["run", "--anchor", "0", "select sum(v) as s from t", *table]) == 0
+    assert main(["explain", "select k, sum(v) from t group by k", *table]) == 0
+    out = capsys.readouterr().out
+    assert "NL0508" in out and "|10 |" in out and "fold" in out
