@@ -74,6 +74,16 @@ def join(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return out.withColumn(W, F.col(W) * F.col("_w2")).drop("_w2")
 
 
+def outer_join(a: DataFrame, b: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Left, right or full join on equal columns; a row without partner keeps its weight and is null-extended.
+
+    Partners are rows of any weight but zero.
+    """
+    left, right = consolidated(weighted(a)), consolidated(weighted(b)).withColumnRenamed(W, "_w2")
+    out = left.join(right, on, how)
+    return out.withColumn(W, F.coalesce(F.col(W), F.lit(1)) * F.coalesce(F.col("_w2"), F.lit(1))).drop("_w2")
+
+
 def _present(b: DataFrame, on: list[str]) -> DataFrame:
     return weighted(b).groupBy(*on).agg(F.sum(W).alias(W)).filter(F.col(W) > 0).select(*on)
 

@@ -19,6 +19,7 @@ from .operators.relation import Rel
 from .plans.contracts import Contract, Rung
 from .session import Engine
 from .sources import ledger, storage
+from .streaming import checkpoints as _checkpoints
 from .streaming.views import View
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -631,6 +632,21 @@ def checkpoint_reconstruct(spark, d):
     return longs(rows, "balance")
 
 
+_NUMBERED = ", numbered AS (SELECT acct, epoch, amt, row_number() OVER w AS n, sum(amt) OVER w AS total FROM postings WINDOW w AS (PARTITION BY acct ORDER BY epoch, idem, amt ROWS UNBOUNDED PRECEDING))"
+
+
+@query(WITH + _NUMBERED + " SELECT acct, epoch, n, CAST(total AS BIGINT) AS total FROM numbered WHERE n % 16 = 0")
+def per_key_checkpoints(spark, d):
+    return longs(_checkpoints.checkpoints(postings(spark, d), ("acct",), "amt", 16, order=("idem", "amt")), "n", "total")
+
+
+@query(WITH + "SELECT acct, CAST(sum(amt) AS BIGINT) AS total, count(*) % 16 AS suffix FROM postings WHERE epoch <= 40 GROUP BY acct")
+def per_key_reconstruct(spark, d):
+    base = storage.written(postings(spark, d))
+    held = storage.written(_checkpoints.checkpoints(base, ("acct",), "amt", 16, order=("idem", "amt")))
+    return longs(_checkpoints.rebuilt(base, held, ("acct",), "amt", 40, order=("idem", "amt")), "total")
+
+
 @query(WITH + "SELECT acct, cur, CAST(sum(amt) AS BIGINT) AS balance, count(*) AS updates FROM postings WHERE epoch <= 40 GROUP BY acct, cur")
 def delta_maintained_view(spark, d):
     base = storage.written(postings(spark, d))

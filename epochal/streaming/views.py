@@ -122,6 +122,22 @@ class View:
             .start()
         )
 
+    def backfill(self, base: DataFrame, upto: int) -> bool:
+        """Apply everything up to an epoch at once, whatever the stride."""
+        done = self.applied()
+        return self.apply(base.filter((F.col(self.epoch) > done) & (F.col(self.epoch) <= upto)), upto)
+
+    def emit(self, path: str) -> bool:
+        """Write the state to a sink below its anchor, once; whether it was new."""
+        at = f"{path}/anchor={self.applied()}"
+        if storage.exists(self.spark, at):
+            return False
+        staged = f"{path}/_staged-{self.applied()}"
+        storage.removed(self.spark, staged)
+        self.state().write.parquet(staged)
+        storage.moved(self.spark, staged, at)
+        return True
+
     # --- reads ---
 
     def state(self) -> DataFrame:

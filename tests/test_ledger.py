@@ -184,3 +184,46 @@ def test_stream(spark, tmp_path):
         stream = spark.readStream.schema("acct long, cur int, amt long").option("maxFilesPerTrigger", 1).parquet(src)
         view.attach(stream, f"{tmp_path}/cp").awaitTermination()
     assert (int(view.state().first().balance), view.applied()) == (60, 2)
+
+
+def test_statements(spark, tmp_path):
+    engine = Engine(spark, ledger=Ledger(spark, f"file://{tmp_path}/book"), scales={0: 2, 1: 0})
+    engine.sql("insert into postings values (1, 7, 0, 1.50, date'2026-01-01'), (1, 8, 0, -1.50, date'2026-01-01')")
+    assert engine.head == 0
+    engine.sql("begin")
+    engine.sql("insert into postings values (2, 7, 1, 9)")
+    engine.sql("insert into postings values (2, 8, 1, -9)")
+    engine.sql("commit")
+    engine.sql("begin")
+    engine.sql("insert into postings values (3, 7, 0, 5)")
+    engine.sql("rollback")
+    assert engine.head == engine.anchor == 1
+    rows = engine.sql("select acct, cur, cast(sum(amt) as bigint) as s from postings group by acct, cur", with_anchor=True).collect()
+    assert sorted(map(tuple, rows)) == [(7, 0, 150, 1), (7, 1, 9, 1), (8, 0, -150, 1), (8, 1, -9, 1)]
+    assert engine.sql("select * from postings as of system time 0").count() == 2
+    for text, what in (("insert into postings values (4, 7, 0, 1.505), (4, 8, 0, -1.505)", "22003"), ("insert into postings values (4, 7, 9, 1), (4, 8, 9, -1)", "22023"), ("insert into postings values (4, 7, 0, 1)", "unbalanced")):
+        with pytest.raises((PySparkException, Rejected), match=what):
+            engine.sql(text)
+    for text in ("delete from postings", "commit", "insert into other values (1, 2, 3, 4)", "insert into postings values (1)"):
+        with pytest.raises(Refused):
+            engine.sql(text)
+    engine.sql("create materialized view totals as select cur, cast(sum(amt) as bigint) as s from postings group by cur")
+    assert sorted(map(tuple, engine.sql("select * from totals").collect())) == [(0, 0), (1, 0)]
+    assert engine.ledger.verify_chain()
+
+
+def test_session_reads(spark, tmp_path):
+    base = spark.createDataFrame([(1, 0, 5, e) for e in range(10)], "acct long, cur int, amt long, epoch long")
+    strict = View(spark, f"file://{tmp_path}/s", ("acct",), {"balance": "amt"}, Contract(Rung.LEDGER_CONSISTENT))
+    session = View(spark, f"file://{tmp_path}/m", ("acct",), {"balance": "amt"}, Contract(Rung.MONOTONIC))
+    engine = Engine(spark, head=9, views={"strict": strict, "session": session})
+    engine.add("base", base, key=("acct",), epoch="epoch")
+    strict.backfill(base, 5)
+    session.backfill(base, 3)
+    rows, path = engine.read("session")
+    assert (path, rows.first().balance, rows.first().anchor) == ("view", 20, 3)
+    rows, path = engine.read("strict", {"acct": 1})
+    assert (path, rows.first().balance, rows.first().anchor) == ("reconstruction", 50, 9)
+    assert engine.read("session")[0].first().anchor == 9  # anchors never go back
+    assert strict.emit(f"file://{tmp_path}/sink") and not strict.emit(f"file://{tmp_path}/sink")
+    assert spark.read.parquet(f"{tmp_path}/sink").first().anchor == 5

@@ -89,3 +89,13 @@ def test_rows(spark):
     assert sorted(map(tuple, zset.rows(made(spark, Counter({(1, 2): 3}))).collect())) == [(1, 2)] * 3
     with pytest.raises(PySparkException, match="negative weight"):
         zset.rows(made(spark, Counter({(1, 2): -1}))).collect()
+
+
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+def test_outer_joins(spark, how):
+    a, b = Counter({(1, 5): 2, (2, 6): -1}), Counter({(1, 7): -3, (3, 8): 1})
+    out = zset.outer_join(made(spark, a), made(spark, b).withColumnRenamed("v", "v2"), ["k"], how)
+    want = {(1, 5, 7): -6}
+    want |= {(2, 6, None): -1} if how != "right" else {}
+    want |= {(3, None, 8): 1} if how != "left" else {}
+    assert got(out.select("k", "v", "v2", "_w")) == want
