@@ -12,14 +12,18 @@ text near a power's end is dealt at both.
 
 Rows that meet in a block are verified by the Hamming distance of 512-bit
 SimHashes. The distance of similarity 0.8 is 78 of 512 on average with a
-deviation of 8; ``MOST`` allows for two deviations, so texts of 0.7 to 0.8 may be
-linked too, and texts of 0.6 hardly ever are.
+deviation of 8; ``MOST`` allows for four deviations. The links found are then
+held against the exact similarity of the sets of shingles, for the linked texts
+alone, and those below ``similarity`` go. Only links of at most ``SURE`` bits are
+taken as they are: that is a similarity of 0.94, and 0.85 four deviations lower.
 
 Block keys travel without the fingerprints; only members of keys that two or more
 texts share are joined with theirs. Large buckets are split: above ``heavy``
 members they are dealt into chunks, and each pair of chunks is a bucket of its
-own, so that no task holds a whole bucket and no link is lost. A bucket yields
-the links of a spanning forest, never all its pairs.
+own, so that no task holds a whole bucket. A bucket yields the links of a spanning
+forest, nearer ones first, and each member's links to its ``NEAREST`` partners,
+never all its pairs. So a text is missed only if every partner of the similarity
+has, in each bucket that they share, so many others that look nearer and are not.
 """
 
 from __future__ import annotations
@@ -36,7 +40,12 @@ from .shared import BROADCAST_ROWS, by_text, looked_up, mapped, without, written
 from .simhash import HEAVY, _joined, components, majority, shingle_hashes
 
 WIDTH, BLOCKS, WORDS = 5, 16, 8
-MOST = 96
+#: Differing bits, of 512: links beyond MOST are dropped unread, links within SURE hold unread.
+MOST, SURE = 110, 40
+#: Links within one of these are taken into the forest before those within the next.
+TIERS = (SURE, 60, 75, 90, MOST)
+NEAREST = 2
+SIMILARITY = 0.8
 #: Distinct shingles in a class, at least; twice as many at most.
 CLASS_SIZE = 2.8
 _SALTS = [(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(WORDS)]
@@ -90,8 +99,29 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return mapped(rows, run, schema)
 
 
-def _linker(most: int):
-    """Streams rows sorted by key and gives the links of each key's members."""
+def _nearest(bucket: np.ndarray, fp: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each row and its k nearest others in its bucket within ``most`` bits."""
+    n = len(fp)
+    far_off, mate = np.full((n, k), most + 1), np.full((n, k), -1)
+    live = np.arange(n)
+    for step in range(1, n):
+        live = live[live + step < n]
+        live = live[bucket[live] == bucket[live + step]]
+        if not len(live):
+            break
+        d = np.bitwise_count(fp[live] ^ fp[live + step]).sum(axis=1).astype(np.int64)
+        for rows, others in ((live, live + step), (live + step, live)):
+            better = d < far_off[rows, -1]
+            r = rows[better]
+            far_off[r, -1], mate[r, -1] = d[better], others[better]
+            order = np.argsort(far_off[r], axis=1, kind="stable")
+            far_off[r], mate[r] = np.take_along_axis(far_off[r], order, 1), np.take_along_axis(mate[r], order, 1)
+    rows, place = np.nonzero(mate >= 0)
+    return rows, mate[rows, place]
+
+
+def _linker():
+    """Streams rows sorted by key and gives links of each key's members, with their distances."""
 
     def done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
@@ -100,9 +130,12 @@ def _linker(most: int):
         if chosen.any():
             bucket, ids = np.repeat(np.arange(len(size)), size)[chosen], rows[1][chosen]
             fp = np.ascontiguousarray(rows[2:, chosen].T).view(np.uint64)
-            a, b = _joined(bucket, fp, most)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+            forest, near = _joined(bucket, fp, TIERS), _nearest(bucket, fp, MOST, NEAREST)
+            a, b = (np.r_[np.array(x, np.int64), y] for x, y in zip(forest, near))
+            if len(a):
+                bits = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1).astype(np.int32)
+                low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(bits)], names=["a", "b", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.zeros((2 + WORDS, 0), np.int64)
@@ -117,8 +150,8 @@ def _linker(most: int):
     return run
 
 
-def links(nodes: DataFrame, most: int = MOST, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Links (a < b) between the ids of ``nodes`` (id, f0 to f7, keys) that keep every component whole."""
+def links(nodes: DataFrame, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Links (a < b) and their bits between the ids of ``nodes`` (id, f0 to f7, keys): candidates for similar texts."""
     words = [f"f{k}" for k in range(WORDS)]
     keyed = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
@@ -129,30 +162,59 @@ def links(nodes: DataFrame, most: int = MOST, heavy: int = HEAVY, bound: int = B
     pairs = pairs.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"), "id")
     buckets = members.filter("chunks = 1").select("key", "id").unionByName(pairs).join(nodes.select("id", *words), "id")
     buckets = buckets.select("key", "id", *words).repartition("key").sortWithinPartitions("key", "id")
-    found = mapped(buckets, _linker(most), "a long, b long")
-    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return written(mapped(buckets, _linker(), "a long, b long, bits int").distinct())
 
 
-def near_groups(docs: DataFrame, width: int = WIDTH, most: int = MOST, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
+def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """The links whose texts' sets of shingles have the similarity: shared ones over all.
+
+    nodes names the digest of each id. Only linked texts are read again.
+    """
+    sure, edges = edges.filter(F.col("bits") <= SURE).select("a", "b"), edges.filter(F.col("bits") > SURE).select("a", "b")
+    ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    named = written(nodes.select("id", "digest").join(ids, "id"))
+    wanted = named.select("digest")
+    texts = by_text(docs).select("digest", "text").join(F.broadcast(wanted) if named.count() <= bound else wanted, "digest", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                sets = [np.unique(shingle_hashes(x.as_py(), width)) for x in part.column(1)]
+                ends = np.cumsum([0, *map(len, sets)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], names=["digest", "shingles"])
+
+    sets = mapped(texts, run, "digest binary, shingles array<long>").dropDuplicates(["digest"])
+    sets = written(named.join(sets, "digest").select("id", "shingles"))
+    x, y = F.col("x"), F.col("y")
+    pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect(x, y))
+    alike = pairs.filter(shared >= similarity * (F.size(x) + F.size(y) - shared)).select("a", "b")
+    return written(alike.unionByName(sure))
+
+
+def near_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, digest, row and kept of every document: one row of each group stays, that of the smallest doc_id.
 
-    Equal texts are one vertex. Null doc_ids come last; among rows of one doc_id any one stays.
+    A group is what links of the similarity or more connect. Equal texts are one
+    vertex. Null doc_ids come last; among rows of one doc_id any one stays.
     """
     rows = written(sketches(docs, width).withColumn("row", F.monotonically_increasing_id()))
     same = ["whole", *[f"f{k}" for k in range(WORDS)]]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
-    nodes = written(rows.groupBy(*same).agg(F.min("row").alias("id"), F.first("keys").alias("keys"), first, F.count(F.lit(1)).alias("n")))
-    stars = components(links(nodes, most, heavy, bound), bound)
+    nodes = written(rows.groupBy(*same).agg(F.min("row").alias("id"), F.min_by("digest", "row").alias("digest"), F.first("keys").alias("keys"), first, F.count(F.lit(1)).alias("n")))
+    edges = similar(links(nodes, heavy, bound), nodes, docs, width, similarity, bound)
+    stars = components(edges, bound)
     whole = written(stars.select(F.col("vertex").alias("id"), "root").unionByName(stars.select(F.col("root").alias("id"), "root").distinct()))
     lows = written(nodes.select("id", "first", "n").join(whole, "id").groupBy("root").agg(F.min("first").alias("stays")))
     low_row = lows.select(F.col("stays.row").alias("row"))
-    lost = nodes.select("id", F.col("first.row").alias("row"), *same).join(whole.select("id"), "id").join(low_row, "row", "left_anti")
+    lost = nodes.select("id", F.col("first.row").alias("row")).join(whole.select("id"), "id").join(low_row, "row", "left_anti")
     kept = written(nodes.select(F.col("first.row").alias("row")).join(lost.select("row"), "row", "left_anti").withColumn("kept", F.lit(True)))
     return rows.select("doc_id", "digest", "row").join(kept, "row", "left").select("doc_id", "digest", "row", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
-def near_dedup(docs: DataFrame, width: int = WIDTH, most: int = MOST, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
+def near_dedup(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
     """The documents that stay, with all their columns: one of each group of near duplicates."""
-    verdict = written(near_groups(docs, width, most, heavy, bound))
+    verdict = written(near_groups(docs, width, similarity, heavy, bound))
     named = written(verdict.groupBy("digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("not kept or n > 1"))
     return without(docs, named.filter("not kept"), named.filter("kept"), bound)

@@ -143,36 +143,38 @@ def _packed(fp: np.ndarray, places: list[int]) -> np.ndarray:
     return out
 
 
-def _joined(bucket: np.ndarray, fp: np.ndarray, most: int) -> tuple[list[int], list[int]]:
-    """Row pairs of a spanning forest of the links within ``most`` bits, bucket by bucket.
+def _joined(bucket: np.ndarray, fp: np.ndarray, tiers: tuple[int, ...]) -> tuple[list[int], list[int]]:
+    """Row pairs of a spanning forest of the links within the last tier's bits, bucket by bucket, nearer ones first.
 
     bucket has a number for each row, equal rows together; fp has a row of 64-bit words for each row.
+    tiers are growing distances: links within one are taken before those within the next.
     """
     n = len(fp)
     root = np.arange(n)
     left: list[int] = []
     right: list[int] = []
-    live = np.arange(n)
-    for step in range(1, n):
-        live = live[live + step < n]
-        live = live[bucket[live] == bucket[live + step]]
-        if not len(live):
-            break
-        far = live + step
-        ask = root[live] != root[far]
-        if not ask.any():
-            continue
-        some, other = live[ask], far[ask]
-        near = np.bitwise_count(fp[some] ^ fp[other]).sum(axis=1) <= most
-        for a, b in zip(some[near].tolist(), other[near].tolist()):
-            ra, rb = _root(root, a), _root(root, b)
-            if ra != rb:
-                root[max(ra, rb)] = min(ra, rb)
-                left.append(a)
-                right.append(b)
-        if near.any():
-            while not np.array_equal(root, up := root[root]):
-                root = up
+    for most in tiers:
+        live = np.arange(n)
+        for step in range(1, n):
+            live = live[live + step < n]
+            live = live[bucket[live] == bucket[live + step]]
+            if not len(live):
+                break
+            far = live + step
+            ask = root[live] != root[far]
+            if not ask.any():
+                continue
+            some, other = live[ask], far[ask]
+            near = np.bitwise_count(fp[some] ^ fp[other]).sum(axis=1) <= most
+            for a, b in zip(some[near].tolist(), other[near].tolist()):
+                ra, rb = _root(root, a), _root(root, b)
+                if ra != rb:
+                    root[max(ra, rb)] = min(ra, rb)
+                    left.append(a)
+                    right.append(b)
+            if near.any():
+                while not np.array_equal(root, up := root[root]):
+                    root = up
     return left, right
 
 
@@ -198,7 +200,7 @@ def _linker(most: int, heavy: int):
                 yield key[chosen], fp[chosen], np.ones(chosen.sum(), np.int8)
             else:
                 ids = fp[chosen]
-                a, b = _joined(bucket[chosen], ids.view(np.uint64).reshape(-1, 1), most)
+                a, b = _joined(bucket[chosen], ids.view(np.uint64).reshape(-1, 1), (most,))
                 yield ids[a], ids[b], np.zeros(len(a), np.int8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
