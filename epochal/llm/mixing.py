@@ -41,6 +41,7 @@ class Target:
     entropy: float | None = None
     budget_tokens: int | None = None
     block_tokens: int = 100_000
+    max_blocks: int = 1_000_000  # beyond, blocks grow, so that tables of blocks stay small at any size
     seed: int = 42
 
 
@@ -123,7 +124,8 @@ def planned(docs: DataFrame, target: Target = Target(), bound: int = BROADCAST_R
     budget = target.budget_tokens if target.budget_tokens is not None else (least or 0.0) * (z or 1.0)
     weight = raised / (z or 1.0)
     goal = F.round(weight * F.lit(float(budget))).cast("long")
-    parts = totals.select("name", "docs", F.col("tokens").alias("source_tokens"), weight.alias("weight"), goal.alias("goal"), F.expr(f"cast(ceil(tokens / {target.block_tokens}) as long)").alias("n_blocks"))
+    block = max(target.block_tokens, -(-int(all_tokens) // target.max_blocks))
+    parts = totals.select("name", "docs", F.col("tokens").alias("source_tokens"), weight.alias("weight"), goal.alias("goal"), F.expr(f"cast(ceil(tokens / {block}) as long)").alias("n_blocks"))
     parts = written(parts.withColumn("passes", F.expr("goal div source_tokens")).withColumn("rest", F.expr("goal % source_tokens")))
     # The partial pass: blocks in its order, then the documents of the block in which the budget ends.
     dealt = looked_up(rows.select("name", "tokens", "h"), parts.filter("rest > 0").select("name", "docs", "passes", "rest", "n_blocks"), "name", "docs", bound).filter("rest is not null")
