@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import AGGREGATES
+from ..functions.aggregates import AGGREGATES, total
 from ..functions.values import column, parse_date
 from ..plans.catalyst import check_confidential
 from ..plans.nodes import Node
@@ -272,13 +272,14 @@ class Rel:
             ties = everything(self.df) if function == "row_number" else []
             value = WINDOW_FUNCTIONS[function]().over(spec.orderBy(*_keys(order), *ties)).cast("long")
         elif function in AGGREGATES:
-            value = AGGREGATES[function](x)
             over = spec.orderBy(*_keys(order)) if order else spec
             if function == "avg":
-                total, n = F.sum(column(x).cast("long")).over(over), F.count(column(x)).over(over)
-                value = F.when(n > 0, ((total - total % F.greatest(n, F.lit(1))) / F.greatest(n, F.lit(1))).cast("long"))
+                whole, n = F.sum(column(x).cast("long")).over(over), F.count(column(x)).over(over)
+                value = F.when(n > 0, ((whole - whole % F.greatest(n, F.lit(1))) / F.greatest(n, F.lit(1))).cast("long"))
+            elif function == "sum":
+                value = total(self.df, x, lambda c: c.over(over))
             else:
-                value = value.over(over)
+                value = AGGREGATES[function](x).over(over)
         else:
             raise Refused("NL0527", function)
         return self._next(self.df.withColumn(name or function, value), "window")
@@ -349,7 +350,7 @@ class Grouped:
         for function, _ in aggs.values():
             if function not in AGGREGATES:
                 raise Refused("NL0502", function)
-        out = self.rel.df.groupBy(*self.keys).agg(*[AGGREGATES[f](x).alias(n) for n, (f, x) in aggs.items()])
+        out = self.rel.df.groupBy(*self.keys).agg(*[(total(self.rel.df, x) if f == "sum" else AGGREGATES[f](x)).alias(n) for n, (f, x) in aggs.items()])
         key = tuple(str(k) for k in self.keys)
         return self.rel._next(out, "aggregate", key=key, aggregates=tuple((f, str(x)) for f, x in aggs.values()))
 

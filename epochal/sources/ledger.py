@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import total
 from ..functions.values import WIDE
 from ..plans.refusal import Refused
 from . import storage
@@ -47,7 +48,7 @@ def upto(rows: DataFrame, epoch: int | None) -> DataFrame:
 
 def ledger_balance(postings: DataFrame, epoch: int | None = None, keys: tuple[str, ...] = ("acct", "cur")) -> DataFrame:
     """Settled postings up to an epoch; a key without postings has no row, which is not a balance of zero."""
-    return upto(postings, epoch).groupBy(*keys).agg(F.sum(F.col("amt").cast(WIDE)).alias("balance"))
+    return upto(postings, epoch).groupBy(*keys).agg(total(postings, "amt").alias("balance"))
 
 
 def open_holds(holds: DataFrame, resolutions: DataFrame, epoch: int | None = None) -> DataFrame:
@@ -57,7 +58,7 @@ def open_holds(holds: DataFrame, resolutions: DataFrame, epoch: int | None = Non
 
 
 def unresolved_holds(holds: DataFrame, resolutions: DataFrame, epoch: int | None = None, keys: tuple[str, ...] = ("acct", "cur")) -> DataFrame:
-    return open_holds(holds, resolutions, epoch).groupBy(*keys).agg(F.sum(F.col("amount").cast(WIDE)).alias("held"))
+    return open_holds(holds, resolutions, epoch).groupBy(*keys).agg(total(holds, "amount").alias("held"))
 
 
 def available_balance(postings: DataFrame, holds: DataFrame, resolutions: DataFrame, epoch: int | None = None, keys: tuple[str, ...] = ("acct", "cur")) -> DataFrame:
@@ -65,9 +66,10 @@ def available_balance(postings: DataFrame, holds: DataFrame, resolutions: DataFr
 
     Both kinds of rows go into one grouped sum, so there is one shuffle and no join of two aggregates.
     """
-    legs = upto(postings, epoch).select(*keys, F.col("amt").cast(WIDE).alias("x"))
-    held = open_holds(holds, resolutions, epoch).select(*keys, (-F.col("amount").cast(WIDE)).cast(WIDE).alias("x"))
-    return legs.unionByName(held).groupBy(*keys).agg(F.sum("x").alias("available"))
+    legs = upto(postings, epoch).select(*keys, F.col("amt").alias("x"))
+    held = open_holds(holds, resolutions, epoch).select(*keys, (-F.col("amount")).alias("x"))
+    both = legs.unionByName(held)
+    return both.groupBy(*keys).agg(total(both, "x").alias("available"))
 
 
 def bitemporal_balance(postings: DataFrame, epoch: int, valid: Column | datetime.date, keys: tuple[str, ...] = ("acct", "cur")) -> DataFrame:
@@ -77,12 +79,12 @@ def bitemporal_balance(postings: DataFrame, epoch: int, valid: Column | datetime
 
 def unbalanced(postings: DataFrame) -> DataFrame:
     """Transactions whose legs in one currency do not add up to zero."""
-    return postings.groupBy("txn", "cur").agg(F.sum(F.col("amt").cast(WIDE)).alias("total")).filter("total <> 0")
+    return postings.groupBy("txn", "cur").agg(total(postings, "amt").alias("total")).filter("total <> 0")
 
 
 def conservation(postings: DataFrame, epoch: int | None = None) -> DataFrame:
     """The total of each currency, which is zero on a closed book."""
-    return upto(postings, epoch).groupBy("cur").agg(F.sum(F.col("amt").cast(WIDE)).alias("total"))
+    return upto(postings, epoch).groupBy("cur").agg(total(postings, "amt").alias("total"))
 
 
 def first_of_key(rows: DataFrame, key: str = "idem", epoch: str = "epoch", window: int | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import total
 from ..plans.contracts import Contract, Rung
 from ..plans.refusal import Refused
 from ..sources import storage
@@ -42,7 +43,7 @@ class View:
 
     def fold(self, rows: DataFrame) -> DataFrame:
         """Base rows, summed by key."""
-        totals = [F.sum(F.col(c).cast("decimal(38,0)")).cast("decimal(38,0)").alias(n) for n, c in self.sums.items()]
+        totals = [total(rows, c).alias(n) for n, c in self.sums.items()]
         return rows.groupBy(*self.keys).agg(*totals, F.count(F.lit(1)).alias("updates"))
 
     def merge(self, *parts: DataFrame) -> DataFrame:

@@ -241,3 +241,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["explain", "select k, sum(v) from t group by k", *table]) == 0
     out = capsys.readouterr().out
     assert "NL0508" in out and "|10 |" in out and "fold" in out
+
+
+def test_sums_by_limbs_are_exact(spark):
+    big = 2**63 - 1
+    data = [(0, big), (0, big), (0, -1), (1, -big - 1), (1, -big - 1), (2, None), (3, 5), (3, -5), (4, -1), (4, None)]
+    r = Rel.source(spark.createDataFrame(data, "g long, x long"), "r")
+    want = [(0, 2 * big - 1), (1, -2 * big - 2), (2, None), (3, 0), (4, -1)]
+    assert rows(r.group_by("g").sum("x")) == want
+    assert rows(r.window("sum", "x", ("g",), (), "s").distinct_by("g").select("g", "s")) == want
+    assert rows(r.where("g = 9").sum("x")) == [(None,)]
