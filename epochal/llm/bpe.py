@@ -13,10 +13,13 @@ character whose bytes are split among tokens comes out whole in ``decode_bytes``
 ``decode_text`` shows incomplete ones as U+FFFD, and ``TextStream`` holds them
 back until their last byte has come.
 
+The pattern always cuts between a character that is not white space and a blank,
+whatever follows. So texts are taken in stretches that begin with such a blank:
+for ids alone, each distinct stretch goes to the library once and is remembered,
+within a bound; with offsets, a text goes whole, and a long one in pieces.
+
 Defined results: null counts as empty and has no tokens. Texts of any length are
-encoded whole: long ones in stretches that end where the pattern always cuts,
-between a character that is not white space and a blank. An empty table gives no
-rows.
+encoded whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +45,10 @@ from .shared import mapped, pick
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 #: Characters that go to the library at once: an encoding takes some 100 bytes of memory a token.
 STRETCH = 1 << 18
+#: Distinct stretches between blanks whose ids a worker remembers, some 100 MB.
+PIECES = 400_000
 _CUT = re.compile(r"(?<=\S) ")
+_WIDE = re.compile(r"\s ")
 
 
 @functools.cache
@@ -68,6 +74,44 @@ class ByteBpe:
         self.tokenizer = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True, cache_capacity=0))
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.bytes_of = {number: token for token, number in rank.items()}
+        self.sizes = np.zeros(max(self.bytes_of) + 1, np.int64)
+        for number, token in self.bytes_of.items():
+            self.sizes[number] = len(token)
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, new: set[str]) -> None:
+        """The ids of each piece, after a blank, as little-endian words."""
+        open_ = [p for p in new if not p or p[-1].isspace()]  # the pattern may join these with what follows
+        for piece, found in zip(open_, self.tokenizer.encode_batch_fast([f" {p}" for p in open_], add_special_tokens=False)):
+            self.known[piece] = np.array(found.ids, "<u4").tobytes()
+        closed, at = list(new.difference(open_)), 0
+        while at < len(closed):
+            end, size = at, 0
+            while end < len(closed) and (end == at or size + len(closed[end]) <= STRETCH):
+                size += len(closed[end]) + 1
+                end += 1
+            some = closed[at:end]
+            (found,) = self.tokenizer.encode_batch_fast(["".join(f" {p}" for p in some)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            bounds = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in some])) + 1
+            raw = ids.tobytes()
+            for piece, start, stop in zip(some, [0, *bounds[:-1].tolist()], bounds.tolist()):
+                self.known[piece] = raw[4 * start : 4 * stop]
+            at = end
+
+    def encode_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """ids of every text. Stretches from a blank to the next are encoded once and remembered."""
+        cut = [text.split(" ") if not _WIDE.search(text) else _CUT.split(text) for text in texts]
+        new = set().union(*(c[1:] for c in cut)).difference(self.known)
+        self._learn(new)
+        heads = self.tokenizer.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)
+        of = self.known.__getitem__
+        out = [np.frombuffer(np.array(h.ids, "<u4").tobytes() + b"".join(map(of, c[1:])), "<u4") for h, c in zip(heads, cut)]
+        full = len(self.known) > PIECES  # then the pieces of before stay, and new ones go again
+        for piece in new:
+            if full or len(piece) > 100:
+                del self.known[piece]
+        return out
 
     def encode(self, texts: list[str], offsets: bool = False) -> list[tuple[list[int], list[tuple[int, int]]]]:
         """ids of every text and, if asked for, each token's characters in it."""
@@ -88,7 +132,7 @@ class ByteBpe:
         return out
 
     def decode_bytes(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 
     def decode_text(self, ids) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
@@ -125,14 +169,14 @@ def _coder(ranks: bytes, pattern: str) -> ByteBpe:
     return ByteBpe(ranks, pattern)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Batches cut so that each holds some STRETCH characters or one text."""
+def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 * STRETCH) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Batches cut so that each holds some size characters or one text."""
     for batch in batches:
         texts, at, size = batch.column(column), 0, 0
         some: list[str] = []
         for i in range(len(batch)):
             text = texts[i].as_py() or ""
-            if some and size + len(text) > STRETCH:
+            if some and size + len(text) > most:
                 yield batch.slice(at, len(some)), some
                 at, size, some = i, 0, []
             some.append(text)
@@ -152,12 +196,14 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, offsets: bool = Fals
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks, pattern)
         for batch, texts in _texts(batches, len(keep)):
-            found = coder.encode(texts, offsets)
-            columns = [*batch.columns[: len(keep)], pa.array([len(ids) for ids, _ in found], pa.int64()), pa.array([ids for ids, _ in found], pa.list_(pa.int32()))]
+            found = coder.encode(texts, True) if offsets else [(ids, ()) for ids in coder.encode_ids(texts)]
+            ids = [np.asarray(x, np.uint32) for x, _ in found]
+            ends = np.cumsum([0, *map(len, ids)])
+            columns = [*batch.columns[: len(keep)], pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).view(np.int32)))]
             if offsets:
                 columns += [pa.array([[o[k] for o in spans] for _, spans in found], pa.list_(pa.int64())) for k in (0, 1)]
             if check:
-                columns.append(pa.array([coder.decode_bytes(ids) == text.encode("utf-8", "surrogatepass") for (ids, _), text in zip(found, texts)]))
+                columns.append(pa.array([coder.decode_bytes(x) == text.encode("utf-8", "surrogatepass") for x, text in zip(ids, texts)]))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = [*keep, "n_tokens", "ids", *["starts", "ends"] * offsets, *["round_trip"] * check]
@@ -190,10 +236,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks, pattern)
         for batch, texts in _texts(batches, 1):
-            ids = [np.array(i, "<u4") for i, _ in coder.encode(texts)]
+            ids = coder.encode_ids(texts)
             columns = [batch.column(0), pa.array([len(x) for x in ids], pa.int64())]
             columns.append(pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]))
-            columns.append(pa.array([hashlib.sha256(coder.decode_bytes(x.tolist())).hexdigest() for x in ids]))
+            columns.append(pa.array([hashlib.sha256(coder.decode_bytes(x)).hexdigest() for x in ids]))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -294,11 +294,21 @@ def test_ids_are_tiktokens(coder, oracle):
     alphabet = "aab  \n\t=-'stmé!?0139 日ñ "
     texts = TOKENS + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) * rng.choice((1, 1, 4)) for _ in range(1500)]
     texts += [c * k for c in "a =-_\n0é" for k in range(1, 60)] + [f"a {chr(c)} b{chr(c)}1" for c in range(0x20, 0x3000, 7)]
-    for text, (ids, _) in zip(texts, coder.encode(texts)):
-        assert list(ids) == oracle.encode_ordinary(text)
+    texts += [" ".join(rng.choice(["a", "", "é", "x\n", "\x1cq", "q\x1c", "\u2003", "don't", "\t", "12", "!"]) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    for text, ids, (slow, _) in zip(texts, coder.encode_ids(texts), coder.encode(texts)):
+        assert list(ids) == list(slow) == oracle.encode_ordinary(text)
         assert coder.decode_bytes(ids) == text.encode()
 
 
+def test_remembered_pieces_are_bounded(coder, oracle, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES", 20)
+    held = len(coder.known)
+    for k in range(30):
+        texts = [f"some words {k} {k + 1} and é{k} {'long' * 50}{k}", "again and again"]
+        assert [list(x) for x in coder.encode_ids(texts)] == [oracle.encode_ordinary(t) for t in texts]
+        assert len(coder.known) <= max(20, held)
+
+
 def test_long_texts_are_cut_where_the_pattern_cuts(coder, oracle, monkeypatch):
     rng = random.Random(1)
     text = " ".join("".join(rng.choice("abé'1 \n!") for _ in range(rng.randint(1, 9))) for _ in range(4000))
