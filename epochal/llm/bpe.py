@@ -45,8 +45,8 @@ from .shared import mapped, pick
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 #: Characters that go to the library at once: an encoding takes some 100 bytes of memory a token.
 STRETCH = 1 << 18
-#: Distinct stretches between blanks whose ids a worker remembers, some 100 MB.
-PIECES = 400_000
+#: Distinct stretches between blanks whose ids a worker remembers, some 50 MB.
+PIECES = 200_000
 _CUT = re.compile(r"(?<=\S) ")
 _WIDE = re.compile(r"\s ")
 

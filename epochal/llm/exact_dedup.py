@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, looked_up, pick, removed, shared_dir, written
+from .shared import BROADCAST_ROWS, looked_up, pick, positional, removed, shared_dir, written
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000"}
@@ -145,8 +145,6 @@ def exact_dedup(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     the groups where they are few, by a shuffle with hot groups apart where
     they are not.
     """
-    from .shared import positional
-
     names = docs.columns
     index = DigestIndex(docs.sparkSession, 32, bound)
     index.flush(docs)

@@ -153,15 +153,15 @@ def _linker():
 def links(nodes: DataFrame, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Links (a < b) and their bits between the ids of ``nodes`` (id, f0 to f7, keys): candidates for similar texts."""
     words = [f"f{k}" for k in range(WORDS)]
-    keyed = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
+    keyed = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "id", "whole")
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = looked_up(keyed, shared, "key", "n", bound).filter("n is not null").withColumn("chunks", F.ceil(F.col("n") / heavy).cast("int"))
-    members = written(members.select("key", "id", "chunks"))
-    chunk = F.pmod(F.xxhash64("id"), "chunks").cast("int")
+    members = written(members.select("key", "id", "whole", "chunks"))
+    chunk = F.pmod(F.xxhash64("whole"), "chunks").cast("int")
     pairs = members.filter("chunks > 1").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pairs = pairs.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"), "id")
     buckets = members.filter("chunks = 1").select("key", "id").unionByName(pairs).join(nodes.select("id", *words), "id")
-    buckets = buckets.select("key", "id", *words).repartition("key").sortWithinPartitions("key", "id")
+    buckets = buckets.select("key", "id", *words).repartition("key").sortWithinPartitions("key", *words)  # an order that does not depend on row numbers
     return written(mapped(buckets, _linker(), "a long, b long, bits int").distinct())
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import mapped, pick, written
+from .shared import mapped, pick, positional, written
 
 ORDER = ("doc_id", "size", "text_crc32")
 
@@ -62,8 +62,6 @@ def byte_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8) -> None:
     """The documents with their shards, as a Parquet table partitioned by shard."""
-    from .shared import positional
-
     names = docs.columns
     key = f"c{names.index('doc_id')}"
     plan = written(byte_shards(docs, n_shards)).select(F.col("doc_id").alias("plan_id"), F.col("size").alias("plan_size"), F.col("text_crc32").alias("plan_crc"), "shard", "slot").dropDuplicates(["plan_id", "plan_size", "plan_crc"])

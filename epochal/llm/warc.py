@@ -33,7 +33,6 @@ import re
 import struct
 import uuid
 import zipfile
-import zlib
 from collections.abc import Iterator
 from typing import BinaryIO, NamedTuple
 
