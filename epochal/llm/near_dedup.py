@@ -12,7 +12,7 @@ text near a power's end is dealt at both.
 
 Rows that meet in a block are verified by the Hamming distance of 512-bit
 SimHashes. The distance of similarity 0.8 is 78 of 512 on average with a
-deviation of 8; ``MOST`` allows for four deviations. The links found are then
+deviation of 8; ``MOST`` allows for six deviations. The links found are then
 held against the exact similarity of the sets of shingles, for the linked texts
 alone, and those below ``similarity`` go. Only links of at most ``SURE`` bits are
 taken as they are: that is a similarity of 0.94, and 0.85 four deviations lower.
@@ -20,10 +20,14 @@ taken as they are: that is a similarity of 0.94, and 0.85 four deviations lower.
 Block keys travel without the fingerprints; only members of keys that two or more
 texts share are joined with theirs. Large buckets are split: above ``heavy``
 members they are dealt into chunks, and each pair of chunks is a bucket of its
-own, so that no task holds a whole bucket. A bucket yields the links of a spanning
-forest, nearer ones first, and each member's links to its ``NEAREST`` partners,
-never all its pairs. So a text is missed only if every partner of the similarity
-has, in each bucket that they share, so many others that look nearer and are not.
+own, so that no task holds a whole bucket. A bucket first yields the links of a
+spanning forest, nearer ones first, and each member's links to its two nearest
+partners. These are held against the exact similarity, and what holds is
+contracted; then each member's nearest 16, 128 and at last all partners in other
+components are offered, less the pairs already read, as long as a bucket has more
+of them. So in the end every pair within ``MOST`` bits that meets in a bucket is
+linked, connected by others, or read and found too low. A group of copies that
+hold together costs few links; only pairs that look near and are not are all read.
 """
 
 from __future__ import annotations
@@ -41,10 +45,15 @@ from .simhash import HEAVY, _joined, components, majority, shingle_hashes
 
 WIDTH, BLOCKS, WORDS = 5, 16, 8
 #: Differing bits, of 512: links beyond MOST are dropped unread, links within SURE hold unread.
-MOST, SURE = 110, 40
+MOST, SURE = 128, 40
 #: Links within one of these are taken into the forest before those within the next.
 TIERS = (SURE, 60, 75, 90, MOST)
-NEAREST = 2
+#: Partners of a text that the rounds offer; None: all.
+ROUNDS = (2, 16, 128, None)
+#: Pairs of texts of at most so many shingles are read whatever their distance: majorities of so few say little.
+TINY = 25
+#: A distance beyond all, and the bits that mark a key as not yet done.
+FAR, OPEN = 64 * WORDS + 1, -1
 SIMILARITY = 0.8
 #: Distinct shingles in a class, at least; twice as many at most.
 CLASS_SIZE = 2.8
@@ -59,11 +68,11 @@ def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sketch(text: str | None, width: int = WIDTH) -> tuple[int, np.ndarray, np.ndarray]:
-    """A hash of the set of shingles, its 512-bit SimHash as eight words, and its block keys."""
+def sketch(text: str | None, width: int = WIDTH) -> tuple[int, np.ndarray, np.ndarray, int]:
+    """A hash of the set of shingles, its 512-bit SimHash as eight words, its block keys, and the number of shingles."""
     h = np.unique(shingle_hashes(text, width))
     if not len(h):
-        return 0, np.zeros(WORDS, np.uint64), np.zeros(1, np.uint64)
+        return 0, np.zeros(WORDS, np.uint64), np.zeros(1, np.uint64), 0
     with np.errstate(over="ignore"):
         wide = majority(np.stack([_mixed(h, s) for s in _SALTS], axis=1))
         dealt, value = _mixed(h, 0x5851F42D4C957F2D), _mixed(h, 0x14057B7EF767814F)
@@ -76,11 +85,11 @@ def sketch(text: str | None, width: int = WIDTH) -> tuple[int, np.ndarray, np.nd
             if len(own):
                 at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                 keys.append(_mixed(np.add.reduceat(add, at) + own[at], 0x2545F4914F6CDD1D + level))
-        return int(value.sum(dtype=np.uint64)), wide, np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        return int(value.sum(dtype=np.uint64)), wide, np.concatenate(keys) if keys else np.zeros(0, np.uint64), len(h)
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, digest (naming the row by doc_id and text), whole, f0 to f7 and keys of every document."""
+    """doc_id, digest (naming the row by doc_id and text), whole, f0 to f7, keys and n_shingles of every document."""
     rows = by_text(docs).select("doc_id", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,21 +97,21 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for at in range(0, len(batch), 2000):
                 part = batch.slice(at, 2000)
                 found = [sketch(x.as_py(), width) for x in part.column(2)]
-                whole = pa.array(np.array([x for x, _, _ in found], np.uint64).view(np.int64))
-                wide = np.array([x for _, x, _ in found], np.uint64).view(np.int64)
-                ends = np.cumsum([0, *[len(x) for _, _, x in found]])
-                keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x for _, _, x in found]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), whole, *[pa.array(wide[:, k]) for k in range(WORDS)], keys], names=names)
-
-    names = ["doc_id", "digest", "whole", *[f"f{k}" for k in range(WORDS)], "keys"]
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, whole long, " + ", ".join(f"f{k} long" for k in range(WORDS)) + ", keys array<long>"
+                whole = pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64))
+                wide = np.array([x[1] for x in found], np.uint64).view(np.int64)
+                ends = np.cumsum([0, *[len(x[2]) for x in found]])
+                keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x[2] for x in found]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), whole, *[pa.array(wide[:, k]) for k in range(WORDS)], keys, pa.array([x[3] for x in found], pa.int32())], names=names)
+
+    names = ["doc_id", "digest", "whole", *[f"f{k}" for k in range(WORDS)], "keys", "n_shingles"]
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, whole long, " + ", ".join(f"f{k} long" for k in range(WORDS)) + ", keys array<long>, n_shingles int"
     return mapped(rows, run, schema)
 
 
-def _nearest(bucket: np.ndarray, fp: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of each row and its k nearest others in its bucket within ``most`` bits."""
+def _nearest(bucket: np.ndarray, fp: np.ndarray, few: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of each row and its k nearest others in its bucket that may be similar, and how many such others it has."""
     n = len(fp)
-    far_off, mate = np.full((n, k), most + 1), np.full((n, k), -1)
+    far_off, mate, others_of = np.full((n, k), FAR), np.full((n, k), -1), np.zeros(n, np.int64)
     live = np.arange(n)
     for step in range(1, n):
         live = live[live + step < n]
@@ -110,37 +119,76 @@ def _nearest(bucket: np.ndarray, fp: np.ndarray, most: int, k: int) -> tuple[np.
         if not len(live):
             break
         d = np.bitwise_count(fp[live] ^ fp[live + step]).sum(axis=1).astype(np.int64)
+        d[(d > MOST) & ~(few[live] & few[live + step])] = FAR
         for rows, others in ((live, live + step), (live + step, live)):
+            others_of[rows] += d < FAR
             better = d < far_off[rows, -1]
             r = rows[better]
             far_off[r, -1], mate[r, -1] = d[better], others[better]
             order = np.argsort(far_off[r], axis=1, kind="stable")
             far_off[r], mate[r] = np.take_along_axis(far_off[r], order, 1), np.take_along_axis(mate[r], order, 1)
     rows, place = np.nonzero(mate >= 0)
-    return rows, mate[rows, place]
+    return rows, mate[rows, place], others_of
 
 
-def _linker():
-    """Streams rows sorted by key and gives links of each key's members, with their distances."""
+def _apart(fp: np.ndarray, few: np.ndarray, root: np.ndarray, k: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Of one bucket, pairs of each row and its k nearest others (None: all) of other roots, and whether there are more."""
+    for at in range(0, len(fp), 128):
+        part = slice(at, at + 128)
+        d = np.bitwise_count(fp[part, None, :] ^ fp[None, :, :]).sum(axis=2).astype(np.int64)
+        d[(d > MOST) & ~(few[part, None] & few[None, :]) | (root[part, None] == root[None, :])] = FAR
+        more = k is not None and bool(((d < FAR).sum(axis=1) > k).any())
+        if more:
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            rows, place = np.nonzero(np.take_along_axis(d, best, 1) < FAR)
+            yield rows + at, best[rows, place], True
+        else:
+            rows, others = np.nonzero(d < FAR)
+            yield rows + at, others, False
+
+
+def _linker(k: int | None, first: bool):
+    """Streams rows sorted by key and gives links of each key's members, with their distances.
+
+    A key whose members have more partners than are given is named in a row of its own, with OPEN bits.
+    """
+    width = 4 + WORDS
+
+    def pairs(ids: np.ndarray, fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        bits = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b])), pa.array(bits)], names=["a", "b", "bits"])
 
     def done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
         size = np.diff(np.r_[edge, rows.shape[1]])
-        chosen = np.repeat(size, size) > 1
-        if chosen.any():
-            bucket, ids = np.repeat(np.arange(len(size)), size)[chosen], rows[1][chosen]
-            fp = np.ascontiguousarray(rows[2:, chosen].T).view(np.uint64)
-            forest, near = _joined(bucket, fp, TIERS), _nearest(bucket, fp, MOST, NEAREST)
-            a, b = (np.r_[np.array(x, np.int64), y] for x, y in zip(forest, near))
-            if len(a):
-                bits = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1).astype(np.int32)
-                low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(bits)], names=["a", "b", "bits"])
+        still: set[int] = set()
+        if first:
+            chosen = np.repeat(size, size) > 1
+            if chosen.any():
+                keys, bucket, ids = rows[0][chosen], np.repeat(np.arange(len(size)), size)[chosen], rows[1][chosen]
+                few, fp = rows[2, chosen] > 0, np.ascontiguousarray(rows[4:, chosen].T).view(np.uint64)
+                forest, (near_a, near_b, others) = _joined(bucket, fp, TIERS), _nearest(bucket, fp, few, k)
+                a, b = np.r_[np.array(forest[0], np.int64), near_a], np.r_[np.array(forest[1], np.int64), near_b]
+                if len(a):
+                    yield pairs(ids, fp, a, b)
+                still = set(keys[others > k].tolist())
+        else:
+            for start, n in zip(edge.tolist(), size.tolist()):
+                own = rows[:, start : start + n]
+                fp = np.ascontiguousarray(own[4:].T).view(np.uint64)
+                for a, b, more in _apart(fp, own[2] > 0, own[3], k):
+                    if len(a):
+                        yield pairs(own[1], fp, a, b)
+                    if more:
+                        still.add(int(own[0, 0]))
+        if still:
+            names = pa.array(sorted(still), pa.int64())
+            yield pa.RecordBatch.from_arrays([names, names, pa.array([OPEN] * len(names), pa.int32())], names=["a", "b", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((2 + WORDS, 0), np.int64)
+        rest = np.zeros((width, 0), np.int64)
         for batch in batches:
-            rest = np.concatenate([rest, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2 + WORDS)])], axis=1)
+            rest = np.concatenate([rest, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])], axis=1)
             if rest.shape[1] and (cut := int(np.argmax(rest[0] == rest[0, -1]))):
                 yield from done(rest[:, :cut])
                 rest = rest[:, cut:]
@@ -150,9 +198,8 @@ def _linker():
     return run
 
 
-def links(nodes: DataFrame, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Links (a < b) and their bits between the ids of ``nodes`` (id, f0 to f7, keys): candidates for similar texts."""
-    words = [f"f{k}" for k in range(WORDS)]
+def buckets(nodes: DataFrame, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """key and id of the ``nodes`` (id, whole, keys) that meet others; a bucket over ``heavy`` is dealt into pairs of chunks."""
     keyed = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "id", "whole")
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = looked_up(keyed, shared, "key", "n", bound).filter("n is not null").withColumn("chunks", F.ceil(F.col("n") / heavy).cast("int"))
@@ -160,9 +207,40 @@ def links(nodes: DataFrame, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) ->
     chunk = F.pmod(F.xxhash64("whole"), "chunks").cast("int")
     pairs = members.filter("chunks > 1").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pairs = pairs.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"), "id")
-    buckets = members.filter("chunks = 1").select("key", "id").unionByName(pairs).join(nodes.select("id", *words), "id")
-    buckets = buckets.select("key", "id", *words).repartition("key").sortWithinPartitions("key", *words)  # an order that does not depend on row numbers
-    return written(mapped(buckets, _linker(), "a long, b long, bits int").distinct())
+    return written(members.filter("chunks = 1").select("key", "id").unionByName(pairs))
+
+
+def links(nodes: DataFrame, docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Links (a < b) between the ids of ``nodes`` that hold, enough to connect all that the similarity connects.
+
+    What holds is contracted after every round, and the next one offers more
+    partners between what is still apart in a bucket, at last all of them.
+    """
+    words = [f"f{k}" for k in range(WORDS)]
+    rows = buckets(nodes, heavy, bound)
+    tried = held = None
+    for round_, k in enumerate(ROUNDS):
+        own = rows.join(nodes.select("id", (F.col("n_shingles") <= TINY).cast("long").alias("few"), *words), "id")
+        own = own.withColumn("root", F.lit(0).cast("long")) if held is None else own
+        own = own.select("key", "id", "few", "root", *words).repartition("key").sortWithinPartitions("key", *words)  # an order that does not depend on row numbers
+        found = written(mapped(own, _linker(k, round_ == 0), "a long, b long, bits int").distinct())
+        new = found.filter(F.col("bits") != OPEN)
+        new = new if tried is None else written(new.join(tried, ["a", "b"], "left_anti"))
+        still = found.filter(F.col("bits") == OPEN).select(F.col("a").alias("key"))
+        good = similar(new, nodes, docs, width, similarity, bound)
+        tried = new.select("a", "b") if tried is None else tried.unionByName(new.select("a", "b"))
+        held = good if held is None else held.unionByName(good)
+        if still.isEmpty():
+            break
+        stars = components(held, bound)
+        label = written(stars.select(F.col("vertex").alias("id"), "root"))
+        rows = rows.select("key", "id").join(F.broadcast(still) if still.count() <= bound else still, "key", "left_semi")
+        rows = written(rows.join(label, "id", "left").withColumn("root", F.coalesce("root", "id")))
+        apart = written(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key"))
+        if apart.isEmpty():
+            break
+        rows = written(rows.join(F.broadcast(apart) if apart.count() <= bound else apart, "key", "left_semi"))
+    return written(held)
 
 
 def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -202,8 +280,8 @@ def near_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     rows = written(sketches(docs, width).withColumn("row", F.monotonically_increasing_id()))
     same = ["whole", *[f"f{k}" for k in range(WORDS)]]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
-    nodes = written(rows.groupBy(*same).agg(F.min("row").alias("id"), F.min_by("digest", "row").alias("digest"), F.first("keys").alias("keys"), first, F.count(F.lit(1)).alias("n")))
-    edges = similar(links(nodes, heavy, bound), nodes, docs, width, similarity, bound)
+    nodes = written(rows.groupBy(*same).agg(F.min("row").alias("id"), F.min_by("digest", "row").alias("digest"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"), first, F.count(F.lit(1)).alias("n")))
+    edges = links(nodes, docs, width, similarity, heavy, bound)
     stars = components(edges, bound)
     whole = written(stars.select(F.col("vertex").alias("id"), "root").unionByName(stars.select(F.col("root").alias("id"), "root").distinct()))
     lows = written(nodes.select("id", "first", "n").join(whole, "id").groupBy("root").agg(F.min("first").alias("stays")))

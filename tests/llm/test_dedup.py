@@ -270,3 +270,40 @@ def test_lookup_of_hot_keys(spark, bound):
     index = written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).filter("k % 2 = 0"))
     got = {r.id: r.top for r in looked_up(rows, index, "k", "n", bound).collect()}
     assert got == {i: 2997 if i % 3 == 0 else i if i % 2 == 0 else None for i in range(3000)}
+
+
+def brute_kept(text):
+    root = {i: i for i in text}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def s(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {i: s(t) for i, t in text.items()}
+    for i in text:
+        for j in text:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {find(i) for i in text}
+
+
+def test_large_groups_near_the_limit(spark):
+    """Copies at 0.75 to 0.85 of each other: the nearest by fingerprint are often below the limit."""
+    r = random.Random(17)
+    rows = []
+    for g, edits in enumerate(((4,), (4,), (3, 4, 4, 4), (4, 5), (3, 5), (5,))):
+        base = prose(r, 304).split()
+        for k in range(60):
+            words = list(base)
+            for at in r.sample(range(len(words)), edits[k % len(edits)]):
+                words[at] = r.choice(WORDS)
+            rows.append((1000 * g + k, " ".join(words)))
+    kept = {x.doc_id for x in near_dedup.near_dedup(docs(spark, rows)).collect()}
+    want = brute_kept(dict(rows))
+    assert kept == want and 6 <= len(want) < len(rows) - 60
