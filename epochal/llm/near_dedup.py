@@ -5,10 +5,16 @@ only; at 0.8, texts differ in ten bits and more, which blocks of bits can't find
 at scale. So the blocks here are blocks of shingles: the distinct shingles are
 dealt by hash into classes of 3 to 6, and the first ``BLOCKS`` classes, each as
 the sum of its hashes, are the blocks. Two texts of similarity 0.8 agree in a
-class with a chance of 0.29 to 0.54, so they share one of 16 with 0.996 or more;
-where a text has fewer differing shingles than classes, a shared one is certain.
-The number of classes is a power of two for the text's number of shingles, and a
-text near a power's end is dealt at both.
+class with a chance of 0.29 to 0.54, so all of 64 differ with one of some 1e-9 at
+most. The number of classes is a power of two for the text's number of shingles;
+sizes at similarity s differ by s at most, so a text is dealt at the powers of
+sqrt(s) and 1 / sqrt(s) of its shingles, and two such texts share one.
+
+Texts of at most ``FEW`` shingles are met exactly, by prefixes: in one order of
+all shingles, rarest first, two texts of n and m shingles at similarity s share
+one of their first n - ceil(s n) + 1 and m - ceil(s m) + 1. Texts of up to
+FEW / s shingles have such keys, those of over FEW have blocks, so any two that
+may be similar have one kind in common.
 
 Rows that meet in a block are verified by the Hamming distance of 512-bit
 SimHashes. The distance of similarity 0.8 is 78 of 512 on average with a
@@ -43,7 +49,7 @@ from pyspark.sql import functions as F
 from .shared import BROADCAST_ROWS, by_text, looked_up, mapped, without, written
 from .simhash import HEAVY, _joined, components, majority, shingle_hashes
 
-WIDTH, BLOCKS, WORDS = 5, 16, 8
+WIDTH, BLOCKS, WORDS = 5, 64, 8
 #: Differing bits, of 512: links beyond MOST are dropped unread, links within SURE hold unread.
 MOST, SURE = 128, 40
 #: Links within one of these are taken into the forest before those within the next.
@@ -55,6 +61,8 @@ TINY = 25
 #: A distance beyond all, and the bits that mark a key as not yet done.
 FAR, OPEN = 64 * WORDS + 1, -1
 SIMILARITY = 0.8
+#: Texts of at most so many shingles are met by prefixes; the least number of classes beyond is BLOCKS.
+FEW = 200
 #: Distinct shingles in a class, at least; twice as many at most.
 CLASS_SIZE = 2.8
 _SALTS = [(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(WORDS)]
@@ -68,16 +76,18 @@ def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sketch(text: str | None, width: int = WIDTH) -> tuple[int, np.ndarray, np.ndarray, int]:
-    """A hash of the set of shingles, its 512-bit SimHash as eight words, its block keys, and the number of shingles."""
+def sketch(text: str | None, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[int, np.ndarray, np.ndarray, int, np.ndarray]:
+    """A hash of the set of shingles, its 512-bit SimHash as eight words, its block keys, the number of shingles, and those of a short text."""
+    none = np.zeros(0, np.uint64)
     h = np.unique(shingle_hashes(text, width))
     if not len(h):
-        return 0, np.zeros(WORDS, np.uint64), np.zeros(1, np.uint64), 0
+        return 0, np.zeros(WORDS, np.uint64), np.zeros(1, np.uint64), 0, none
     with np.errstate(over="ignore"):
         wide = majority(np.stack([_mixed(h, s) for s in _SALTS], axis=1))
         dealt, value = _mixed(h, 0x5851F42D4C957F2D), _mixed(h, 0x14057B7EF767814F)
-        keys = []
-        for level in sorted({max(0, math.floor(math.log2(max(1.0, x / CLASS_SIZE)))) for x in (len(h) * 0.9, len(h) / 0.9)}):
+        keys, wider = [], 0.999 * math.sqrt(similarity)
+        sizes = (len(h) * wider, len(h) / wider) if len(h) > FEW else ()
+        for level in range(*(math.floor(math.log2(max(1.0, x / CLASS_SIZE))) + i for i, x in enumerate(sizes))) if sizes else ():
             of = dealt & np.uint64((1 << level) - 1)
             used = of < BLOCKS
             order = np.argsort(of[used], kind="stable")
@@ -85,26 +95,25 @@ def sketch(text: str | None, width: int = WIDTH) -> tuple[int, np.ndarray, np.nd
             if len(own):
                 at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                 keys.append(_mixed(np.add.reduceat(add, at) + own[at], 0x2545F4914F6CDD1D + level))
-        return int(value.sum(dtype=np.uint64)), wide, np.concatenate(keys) if keys else np.zeros(0, np.uint64), len(h)
+        return int(value.sum(dtype=np.uint64)), wide, np.concatenate(keys) if keys else none, len(h), h if len(h) * similarity <= FEW + 1e-6 else none
 
 
-def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, digest (naming the row by doc_id and text), whole, f0 to f7, keys and n_shingles of every document."""
+def sketches(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, digest (naming the row by doc_id and text), whole, f0 to f7, keys, n_shingles and short (the shingles of a short text) of every document."""
     rows = by_text(docs).select("doc_id", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.slice(at, 2000)
-                found = [sketch(x.as_py(), width) for x in part.column(2)]
+                found = [sketch(x.as_py(), width, similarity) for x in part.column(2)]
                 whole = pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64))
                 wide = np.array([x[1] for x in found], np.uint64).view(np.int64)
-                ends = np.cumsum([0, *[len(x[2]) for x in found]])
-                keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x[2] for x in found]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), whole, *[pa.array(wide[:, k]) for k in range(WORDS)], keys, pa.array([x[3] for x in found], pa.int32())], names=names)
+                keys, short = (pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(x[i]) for x in found]]), pa.int32()), pa.array(np.concatenate([x[i] for x in found]).view(np.int64))) for i in (2, 4))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), whole, *[pa.array(wide[:, k]) for k in range(WORDS)], keys, pa.array([x[3] for x in found], pa.int32()), short], names=names)
 
-    names = ["doc_id", "digest", "whole", *[f"f{k}" for k in range(WORDS)], "keys", "n_shingles"]
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, whole long, " + ", ".join(f"f{k} long" for k in range(WORDS)) + ", keys array<long>, n_shingles int"
+    names = ["doc_id", "digest", "whole", *[f"f{k}" for k in range(WORDS)], "keys", "n_shingles", "short"]
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, whole long, " + ", ".join(f"f{k} long" for k in range(WORDS)) + ", keys array<long>, n_shingles int, short array<long>"
     return mapped(rows, run, schema)
 
 
@@ -198,9 +207,25 @@ def _linker(k: int | None, first: bool):
     return run
 
 
-def buckets(nodes: DataFrame, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """key and id of the ``nodes`` (id, whole, keys) that meet others; a bucket over ``heavy`` is dealt into pairs of chunks."""
+def prefixes(nodes: DataFrame, similarity: float = SIMILARITY, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """id and prefix of the short texts among ``nodes`` (id, n_shingles, short): the rarest shingles, of which two texts of the similarity share one.
+
+    A shingle that no second text has can't be shared, so it is counted only.
+    """
+    each = nodes.select("id", F.explode("short").alias("shingle"))
+    shared = written(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    common = looked_up(each, shared, "shingle", "n", bound).filter("n is not null")
+    common = common.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("common"))  # FEW / similarity at most
+    length = F.col("n_shingles") - F.ceil(F.col("n_shingles") * similarity - 1e-6) + 1
+    common = common.join(nodes.select("id", "n_shingles"), "id").withColumn("length", (length - F.col("n_shingles") + F.size("common")).cast("int"))
+    return common.filter("length > 0").select("id", F.expr("transform(slice(common, 1, greatest(length, 0)), x -> xxhash64(x.shingle))").alias("prefix"))
+
+
+def buckets(nodes: DataFrame, similarity: float = SIMILARITY, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """key and id of the ``nodes`` (id, whole, keys, n_shingles, short) that meet others; a bucket over ``heavy`` is dealt into pairs of chunks."""
     keyed = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "id", "whole")
+    short = prefixes(nodes, similarity, bound).join(nodes.select("id", "whole"), "id")
+    keyed = written(keyed.unionByName(short.select(F.explode("prefix").alias("key"), "id", "whole")))
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = looked_up(keyed, shared, "key", "n", bound).filter("n is not null").withColumn("chunks", F.ceil(F.col("n") / heavy).cast("int"))
     members = written(members.select("key", "id", "whole", "chunks"))
@@ -217,7 +242,7 @@ def links(nodes: DataFrame, docs: DataFrame, width: int = WIDTH, similarity: flo
     partners between what is still apart in a bucket, at last all of them.
     """
     words = [f"f{k}" for k in range(WORDS)]
-    rows = buckets(nodes, heavy, bound)
+    rows = buckets(nodes, similarity, heavy, bound)
     tried = held = None
     for round_, k in enumerate(ROUNDS):
         own = rows.join(nodes.select("id", (F.col("n_shingles") <= TINY).cast("long").alias("few"), *words), "id")
@@ -277,10 +302,10 @@ def near_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     A group is what links of the similarity or more connect. Equal texts are one
     vertex. Null doc_ids come last; among rows of one doc_id any one stays.
     """
-    rows = written(sketches(docs, width).withColumn("row", F.monotonically_increasing_id()))
+    rows = written(sketches(docs, width, similarity).withColumn("row", F.monotonically_increasing_id()))
     same = ["whole", *[f"f{k}" for k in range(WORDS)]]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
-    nodes = written(rows.groupBy(*same).agg(F.min("row").alias("id"), F.min_by("digest", "row").alias("digest"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"), first, F.count(F.lit(1)).alias("n")))
+    nodes = written(rows.groupBy(*same).agg(F.min("row").alias("id"), F.min_by("digest", "row").alias("digest"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"), F.first("short").alias("short"), first, F.count(F.lit(1)).alias("n")))
     edges = links(nodes, docs, width, similarity, heavy, bound)
     stars = components(edges, bound)
     whole = written(stars.select(F.col("vertex").alias("id"), "root").unionByName(stars.select(F.col("root").alias("id"), "root").distinct()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -307,3 +308,20 @@ def test_large_groups_near_the_limit(spark):
     kept = {x.doc_id for x in near_dedup.near_dedup(docs(spark, rows)).collect()}
     want = brute_kept(dict(rows))
     assert kept == want and 6 <= len(want) < len(rows) - 60
+
+
+def test_sizes_that_differ_as_far_as_the_similarity_allows(spark):
+    """A text that is the beginning of another, of 0.8 or more of its shingles."""
+    r = random.Random(23)
+    sizes = [(n, n + d) for n in (4, 5, 6, 7, 8) for d in (1,)] + [(8, 10), (9, 10), (40, 50), (80, 100), (160, 200), (161, 200), (200, 250), (201, 251), (320, 399), (322, 400), (640, 800), (1281, 1600), (3000, 3750)]
+    rows = []
+    for i, (a, b) in enumerate(sizes * 4):
+        words = [f"{r.randrange(10**9)}" for _ in range(b + 4)]
+        rows += [(2 * i, " ".join(words[: a + 4])), (2 * i + 1, " ".join(words))]
+    kept = {x.doc_id for x in near_dedup.near_dedup(docs(spark, rows)).collect()}
+    assert kept == {2 * i for i in range(len(sizes) * 4)}
+    for n in range(201, 5000):
+        level = lambda x: math.floor(math.log2(x / near_dedup.CLASS_SIZE))
+        wider = 0.999 * math.sqrt(0.8)
+        m = math.floor(n / 0.8)
+        assert max(level(n * wider), level(m * wider)) <= min(level(n / wider), level(m / wider)) and level(n * wider) >= 6
