@@ -352,3 +352,17 @@ def test_bpe_queries(spark, oracle):
     assert back == {i: t or "" for i, t in enumerate(texts)}
     assert bpe.round_trip(docs(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
     assert defaultdict(int, {r.doc_id: r.n_tokens for r in bpe.token_counts(table, RANKS, public_tokenizers.PATTERN).collect()})[0] == 0
+
+
+def test_short_lists_are_judged(spark):
+    """Lists of 50 to 149 words go, short prose stays; fewer words need more distance."""
+    r = random.Random(5)
+    words = "the of and to in a is river stone light under morning winter people walked along while small house green".split()
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n)) + "."
+    items = "mountain harvest evening lantern orchard meadow village thunder".split()
+    lists = [" | ".join(r.choice(items) + r.choice(items) + " " + r.choice(items) + r.choice(items) for _ in range(n)) for n in (20, 28, 36, 45)]
+    texts = [prose(300) for _ in range(60)] + [prose(n) for n in (55, 70, 90, 120, 145)] + lists
+    got = {x.doc_id: x for x in quality.judged(docs(spark, texts)).collect()}
+    assert all(50 <= got[i].n_words < 150 and not got[i].base_failed and got[i].word_distance is not None for i in range(60, 69))
+    assert all(got[i].kept for i in range(65)) and not any(got[i].kept for i in range(65, 69))
+    assert all(got[i].char_distance <= quality.Limits().max_char_distance for i in range(65, 69))  # the sum rejects them
