@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_text, looked_up, mapped, pick, without, written
+from .shared import by_text, lang_digest, looked_up, mapped, pick, without, written
 
 #: Common words of four languages, the slots of the word histogram.
 COMMON_WORDS = (
@@ -229,5 +229,5 @@ def judged(docs: DataFrame, limits: Limits = Limits(), extra: tuple[str, ...] =
 
 def quality_filtered(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that pass, with all their columns; rows alike in doc_id, language and text share one verdict."""
-    judge = judged(by_text(docs), limits, ("digest",))
-    return without(docs, written(judge.filter(~F.col("kept")).select("doc_id", "digest")))
+    judge = judged(by_text(docs), limits, ("digest",)).withColumn("digest", lang_digest(F.col("digest"), F.col("lang")))
+    return without(docs, written(judge.filter(~F.col("kept")).select("doc_id", "digest")), by_lang=True)

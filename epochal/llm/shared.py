@@ -75,14 +75,22 @@ def by_text(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "lang", "text").withColumn("digest", text_digest(F.col("doc_id"), F.col("text")))
 
 
-def without(docs: DataFrame, dropped: DataFrame, single: DataFrame | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
+def lang_digest(digest: Column, lang: Column) -> Column:
+    """Names a row by its text_digest and its language; a null language has a name of its own."""
+    return F.unhex(F.sha2(F.concat(digest, F.coalesce(F.concat(F.lit("1"), lang), F.lit("0")).cast("binary")), 256))
+
+
+def without(docs: DataFrame, dropped: DataFrame, single: DataFrame | None = None, bound: int = BROADCAST_ROWS, by_lang: bool = False) -> DataFrame:
     """docs less the rows whose digest is in the written table ``dropped``, which is broadcast only if small.
 
-    Of each digest in the written table ``single``, one row stays.
+    Of each digest in the written table ``single``, one row stays. With
+    ``by_lang`` the digests name the language too.
     """
     names = docs.columns
     rows = positional(docs)
     rows = rows.withColumn("digest", text_digest(F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")))
+    if by_lang:
+        rows = rows.withColumn("digest", lang_digest(F.col("digest"), F.col(f"c{names.index('lang')}")))
 
     def small(table: DataFrame) -> DataFrame:
         return F.broadcast(table.select("digest")) if table.count() <= bound else table.select("digest").distinct()

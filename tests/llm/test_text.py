@@ -366,3 +366,15 @@ def test_short_lists_are_judged(spark):
     assert all(50 <= got[i].n_words < 150 and not got[i].base_failed and got[i].word_distance is not None for i in range(60, 69))
     assert all(got[i].kept for i in range(65)) and not any(got[i].kept for i in range(65, 69))
     assert all(got[i].char_distance <= quality.Limits().max_char_distance for i in range(65, 69))  # the sum rejects them
+
+
+def test_rows_of_other_languages_keep_their_verdict(spark):
+    """A text rejected in one language stays in another, under the same doc_id."""
+    r = random.Random(6)
+    words = "the of and to in a is river stone light under morning winter people walked along while small house green".split()
+    own = [" ".join(r.choice(words) for _ in range(300)) + "." for _ in range(40)]
+    odd = " ".join(f"{r.randrange(10**6)}%%" for _ in range(200))
+    table = docs(spark, own).unionByName(docs(spark, [odd]).withColumn("doc_id", F.lit(500).cast("long")))
+    both = table.unionByName(docs(spark, [odd, odd], "xx").withColumn("doc_id", F.lit(500).cast("long"))).unionByName(docs(spark, [odd], None).withColumn("doc_id", F.lit(500).cast("long")))
+    left = quality.quality_filtered(both).filter("doc_id = 500").collect()
+    assert Counter(x.lang for x in left) == {"xx": 2, None: 1}
