@@ -36,15 +36,15 @@ BASE = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: Label, SPDX identifier, keyword, name as an expression over words.
+#: Label, SPDX identifier, keywords (each alternative of the name has a word that begins with one), name as an expression over words.
 FAMILIES = (
-    ("mit", "MIT", "mit", "(?:mit|expat)"),
+    ("mit", "MIT", "mit expat", "(?:mit|expat)"),
     ("apache-1", "Apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1(?: 1)?"),
     ("apache-2", "Apache-2.0", "apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
-    ("bsd-2", "BSD-2-Clause", "bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
+    ("bsd-2", "BSD-2-Clause", "bsd freebsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
     ("bsd-3", "BSD-3-Clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
     ("bsd-4", "BSD-4-Clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)"),
-    ("0bsd", "0BSD", "0bsd", "(?:0bsd|zero clause bsd)"),
+    ("0bsd", "0BSD", "0bsd zero", "(?:0bsd|zero clause bsd)"),
     ("gpl-1", "GPL-1.0-only", "general", "(?:gnu )?general public license (?:version |v)?1(?: 0)?"),
     ("gpl-2", "GPL-2.0-only", "general", "(?:gnu )?general public license (?:version |v)?2(?: 0)?"),
     ("gpl-3", "GPL-3.0-only", "general", "(?:gnu )?general public license (?:version |v)?3(?: 0)?"),
@@ -59,7 +59,7 @@ FAMILIES = (
     ("mpl-2", "MPL-2.0", "mozilla", "mozilla public license(?: version)? 2(?: 0)?"),
     ("epl-1", "EPL-1.0", "eclipse", "eclipse public license(?: version)? 1(?: 0)?"),
     ("epl-2", "EPL-2.0", "eclipse", "eclipse public license(?: version)? 2(?: 0)?"),
-    ("cddl-1", "CDDL-1.0", "cddl", "(?:common development and distribution license|cddl)(?: 1 0)?"),
+    ("cddl-1", "CDDL-1.0", "cddl common", "(?:common development and distribution license|cddl)(?: 1 0)?"),
     ("isc", "ISC", "isc", "isc"),
     ("zlib", "Zlib", "zlib", "zlib(?: libpng)?"),
     ("boost", "BSL-1.0", "boost", "boost software"),
@@ -77,13 +77,13 @@ FAMILIES = (
     ("osl-3", "OSL-3.0", "open", "open software license(?: version)? 3(?: 0)?"),
     ("afl-3", "AFL-3.0", "academic", "academic free license(?: version)? 3(?: 0)?"),
     ("ofl-1.1", "OFL-1.1", "sil", "sil open font"),
-    ("cc0", "CC0-1.0", "cc0", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?"),
-    ("cc-by", "CC-BY-4.0", "cc", "(?:cc by|creative commons attribution)(?: [1-4] 0)?"),
-    ("cc-by-sa", "CC-BY-SA-4.0", "cc", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] 0)?"),
-    ("cc-by-nd", "CC-BY-ND-4.0", "cc", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] 0)?"),
-    ("cc-by-nc", "CC-BY-NC-4.0", "cc", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] 0)?"),
-    ("cc-by-nc-sa", "CC-BY-NC-SA-4.0", "cc", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] 0)?"),
-    ("cc-by-nc-nd", "CC-BY-NC-ND-4.0", "cc", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] 0)?"),
+    ("cc0", "CC0-1.0", "cc0 creative", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?"),
+    ("cc-by", "CC-BY-4.0", "cc creative", "(?:cc by|creative commons attribution)(?: [1-4] 0)?"),
+    ("cc-by-sa", "CC-BY-SA-4.0", "cc creative", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] 0)?"),
+    ("cc-by-nd", "CC-BY-ND-4.0", "cc creative", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] 0)?"),
+    ("cc-by-nc", "CC-BY-NC-4.0", "cc creative", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] 0)?"),
+    ("cc-by-nc-sa", "CC-BY-NC-SA-4.0", "cc creative", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] 0)?"),
+    ("cc-by-nc-nd", "CC-BY-NC-ND-4.0", "cc creative", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] 0)?"),
 )
 
 #: Role, priority, expression; NAME and SPDX stand for the family's, and FULL for its name with the word license.
@@ -112,10 +112,6 @@ class Detection(NamedTuple):
     rule: Rule
 
 
-#: One of these words is in every text that a rule matches.
-ROLE_WORDS = (b"licen", b"spdx", b"under", b"subject to", b"governed by", b"covered by", b"accordance", b"option", b"either", b"cc by nc")
-
-
 def _bounded(expression: str) -> re.Pattern:
     return re.compile(rf"(?<![^ ])(?:{expression})(?![^ ])".encode())
 
@@ -125,12 +121,10 @@ def rules() -> tuple[Rule, ...]:
     """All rules in order: the base phrases, then every phrasing of every family."""
     out = [Rule(label, "base", 100, (phrase.split()[2 if label == "mit" else 0],), _bounded(phrase)) for phrase, label in BASE]
     for role, priority, phrasing in PHRASINGS:
-        for label, spdx, keyword, name in FAMILIES:
+        for label, spdx, keywords_, name in FAMILIES:
             full = name if "license" in name.replace("(?: license)?", "") else f"{name} licen[cs]e"
             words = re.sub("[^a-z0-9]+", " ", spdx.lower())
-            keywords = (keyword,) if role != "identifier" else (words.split()[0],)
-            if keyword == "cc" and role != "identifier":
-                keywords = ("cc", "creative")
+            keywords = tuple(keywords_.split()) if role != "identifier" else (words.split()[0],)
             out.append(Rule(label, role, priority, keywords, _bounded(phrasing.replace("FULL", full).replace("NAME", name).replace("SPDX", words))))
     return tuple(out)
 
@@ -154,8 +148,6 @@ def words_of(text: str | None) -> list[bytes]:
 
 def detected(joined: bytes) -> list[Detection]:
     """The detections that stay, by place; ``joined`` is the words with a blank between them."""
-    if not any(w in joined for w in ROLE_WORDS):
-        return []
     hit: set[int] = set()
     for _, ids in _prefilter().iter(" " + joined.decode("utf-8", "replace")):
         hit.update(ids)

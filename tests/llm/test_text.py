@@ -378,3 +378,39 @@ def test_rows_of_other_languages_keep_their_verdict(spark):
     both = table.unionByName(docs(spark, [odd, odd], "xx").withColumn("doc_id", F.lit(500).cast("long"))).unionByName(docs(spark, [odd], None).withColumn("doc_id", F.lit(500).cast("long")))
     left = quality.quality_filtered(both).filter("doc_id = 500").collect()
     assert Counter(x.lang for x in left) == {"xx": 2, None: 1}
+
+
+def drawn(rng, parsed):
+    """A random text that a parsed expression matches."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            out += chr(rng.choice([c for kind, x in arg for c in ([x] if str(kind) == "LITERAL" else range(x[0], x[1] + 1))]))
+        elif name == "BRANCH":
+            out += drawn(rng, rng.choice(arg[1]))
+        elif name == "SUBPATTERN":
+            out += drawn(rng, arg[3])
+        elif name == "MAX_REPEAT":
+            out += "".join(drawn(rng, arg[2]) for _ in range(rng.randint(arg[0], arg[1])))
+        else:
+            assert name == "ASSERT_NOT", name
+    return out
+
+
+def test_the_prefilter_knows_every_alternative():
+    rng = random.Random(8)
+    for rule in licenses.rules():
+        parsed = re._parser.parse(rule.pattern.pattern.decode())
+        for text in {drawn(rng, parsed) for _ in range(60)}:
+            assert rule.pattern.search(text.encode())
+            free = {r for r in licenses.rules() if r.pattern.search(text.encode())}
+            kept = licenses.detected(text.encode())
+            assert kept and max(d.rule.priority for d in kept) == max(r.priority for r in free), (rule.label, rule.role, text)
+    label = lambda t: {r.label for _, _, r in licenses.scan(t)[1]}
+    assert label("Licensed under the Expat license") == {"mit"}
+    assert label("released under the FreeBSD license") == {"bsd-2"}
+    assert label("governed by Creative Commons Zero") == {"cc0"}
+    assert label("Zero-Clause BSD License") == {"0bsd"}
