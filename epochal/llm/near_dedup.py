@@ -104,8 +104,8 @@ def sketches(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
                 found = [sketch(x.as_py(), width, similarity) for x in part.column(2)]
                 whole = pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64))
                 wide = np.array([x[1] for x in found], np.uint64).view(np.int64)
@@ -235,14 +235,14 @@ def buckets(nodes: DataFrame, similarity: float = SIMILARITY, heavy: int = HEAVY
     return written(members.filter("chunks = 1").select("key", "id").unionByName(pairs))
 
 
-def links(nodes: DataFrame, docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Links (a < b) between the ids of ``nodes`` that hold, enough to connect all that the similarity connects.
+def links(nodes: DataFrame, wide: DataFrame, docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Links (a < b) between the ids of ``nodes``, whose keys are in ``wide``, that hold, enough to connect all that the similarity connects.
 
     What holds is contracted after every round, and the next one offers more
     partners between what is still apart in a bucket, at last all of them.
     """
     words = [f"f{k}" for k in range(WORDS)]
-    rows = buckets(nodes, similarity, heavy, bound)
+    rows = buckets(wide, similarity, heavy, bound)
     tried = held = None
     for round_, k in enumerate(ROUNDS):
         own = rows.join(nodes.select("id", (F.col("n_shingles") <= TINY).cast("long").alias("few"), *words), "id")
@@ -305,8 +305,10 @@ def near_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     rows = written(sketches(docs, width, similarity).withColumn("row", F.monotonically_increasing_id()))
     same = ["whole", *[f"f{k}" for k in range(WORDS)]]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
-    nodes = written(rows.groupBy(*same).agg(F.min("row").alias("id"), F.min_by("digest", "row").alias("digest"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"), F.first("short").alias("short"), first, F.count(F.lit(1)).alias("n")))
-    edges = links(nodes, docs, width, similarity, heavy, bound)
+    nodes = written(rows.groupBy(*same).agg(F.min("row").alias("id"), F.min_by("digest", "row").alias("digest"), F.first("n_shingles").alias("n_shingles"), first, F.count(F.lit(1)).alias("n")))
+    twins = written(rows.select(F.col("row").alias("id")).join(nodes.select("id"), "id", "left_anti"))
+    wide = rows.select(F.col("row").alias("id"), "whole", "n_shingles", "keys", "short").join(F.broadcast(twins) if twins.count() <= bound else twins, "id", "left_anti")
+    edges = links(nodes, wide, docs, width, similarity, heavy, bound)
     stars = components(edges, bound)
     whole = written(stars.select(F.col("vertex").alias("id"), "root").unionByName(stars.select(F.col("root").alias("id"), "root").distinct()))
     lows = written(nodes.select("id", "first", "n").join(whole, "id").groupBy("root").agg(F.min("first").alias("stays")))
