@@ -56,6 +56,11 @@ NOT_ARTICLE = frozenset(
     "breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended cookie cookies consent gdpr notice notices alert popup modal "
     "overlay newsletter subscribe subscription signup login search share sharing social comment comments disqus discussion reply replies respond pagination pager copyright".split()
 )
+#: Parts of a class that say a page has or lacks such a box, and parts that follow the word in the name of the box itself.
+ABOUT = frozenset("no not non has have with without hide hidden show".split())
+BOX = frozenset("area areas bar block box boxes column container content form group holder inner item items left right links list menu nav panel section slot top bottom unit wrap wrapper".split())
+#: An element with a larger part of the body's characters outside links is not cut for its class.
+LARGER = 0.6
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: An open element that a start tag ends, and where the look for it stops.
 CLOSES = {
@@ -74,11 +79,22 @@ P_STOPS = frozenset({"table", "td", "th", "button", "object", "body", "html"})
 BASE_FLOOR = 2.0
 
 
+def _not_article(token: str, framed: bool) -> bool:
+    """Whether a class or id names a box beside the article: it ends with such a word, or goes on with parts of a box only."""
+    parts = [x for x in re.split("[^a-z0-9]+", token) if x]
+    if not parts or not ABOUT.isdisjoint(parts):
+        return False
+    while len(parts) > 1 and (parts[-1] in BOX and parts[0] in NOT_ARTICLE or parts[-1].isdigit()):
+        parts.pop()
+    return parts[-1] in NOT_ARTICLE and not (framed and parts[-1] == "header")
+
+
 class Page:
     """The elements of a page in order: tag, parent and whether cut off; and its runs of text with their elements."""
 
     def __init__(self, source: str):
         self.tags, self.parents, self.cut = ["html"], [-1], [False]
+        self.named: set[int] = set()  # to be cut for their class or id
         self.events: list[tuple[int, str | None]] = []  # (node, text), or None at the boundary of a block
         stack, at, size = [0], 0, len(source)
         while at < size:
@@ -103,6 +119,24 @@ class Page:
             elif tag in VOID or (found[3] or "").rstrip().endswith("/") and tag in ("svg", "path", "use"):
                 stack.pop()
 
+        self._cut_named()
+
+    def _cut_named(self) -> None:
+        """Cuts what class or id name, but no element that holds the larger part of the text."""
+        if not self.named:
+            return
+        n = len(self.tags)
+        linked, plain = [False] * n, [0] * n
+        for i in range(1, n):
+            linked[i] = self.tags[i] == "a" or linked[self.parents[i]]
+        for node, text in self.events:
+            if text and not self.cut[node] and not linked[node]:
+                plain[node] += len(" ".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            plain[self.parents[i]] += plain[i]
+        for i in range(1, n):
+            self.cut[i] = self.cut[i] or self.cut[self.parents[i]] or i in self.named and plain[i] <= LARGER * plain[0]
+
     def _text(self, node: int, raw: str) -> None:
         self.events.append((node, html.unescape(raw)))
 
@@ -117,8 +151,8 @@ class Page:
         parent = stack[-1]
         self.tags.append(tag)
         self.parents.append(parent)
-        self.cut.append(self.cut[parent] or self._never(stack, tag, attributes))
         node = len(self.tags) - 1
+        self.cut.append(self.cut[parent] or self._never(stack, tag, attributes, node))
         stack.append(node)
         if tag in BLOCK:
             self.events.append((node, None))
@@ -149,17 +183,18 @@ class Page:
                 break
         del stack[k:]
 
-    def _never(self, stack: list[int], tag: str, attributes: str) -> bool:
+    def _never(self, stack: list[int], tag: str, attributes: str, node: int) -> bool:
         if tag in NEVER:
             return True
-        if tag == "header" and not any(self.tags[i] in ("article", "main") for i in stack):
+        framed = any(self.tags[i] in ("article", "main") for i in stack)
+        if tag == "header" and not framed:
             return True
         if not attributes or tag in OUTER:
             return False
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
-            if name in ("class", "id") and not NOT_ARTICLE.isdisjoint(re.split("[^a-z0-9]+", value)):
-                return True
+            if name in ("class", "id") and any(_not_article(token, framed) for token in value.split()):
+                self.named.add(node)
             if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):

@@ -414,3 +414,18 @@ def test_the_prefilter_knows_every_alternative():
     assert label("released under the FreeBSD license") == {"bsd-2"}
     assert label("governed by Creative Commons Zero") == {"cc0"}
     assert label("Zero-Clause BSD License") == {"0bsd"}
+
+
+BODY = "<p>Real text here, long enough to win the page.</p><p>And more of it, a second paragraph of text.</p>"
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "layout has-sidebar", "page-with-sidebar", "elementor-widget-container", "search-result", "widget"])
+def test_wrappers_of_the_article_stay(name):
+    page = f"<body><div class='{name}'>{BODY}</div><div class='sidebar'>Side</div><div class='comments-area'>First!</div><div id='ad-2'>Buy</div></body>"
+    assert html_text.main_text(page) == "Real text here, long enough to win the page.\nAnd more of it, a second paragraph of text."
+
+
+@pytest.mark.parametrize("name", ["article-header", "entry-header", "header"])
+def test_titles_in_an_article_stay(name):
+    page = f"<body><div class='site-header'>Site</div><article><div class='{name}'><h1>Title</h1></div>{BODY}</article></body>"
+    assert html_text.main_text(page).split("\n")[0] == "Title" and "Site" not in html_text.main_text(page)
