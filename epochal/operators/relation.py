@@ -181,6 +181,7 @@ class Rel:
         return self._next(_subquery.not_in(self.df, probe, inner.df, value, on, keep_null_probe=False), "join", inner, how="anti", key=(probe,))
 
     def scalar(self, inner: Rel, on: dict[str, str], function: str, value: str, name: str) -> Rel:
+        """One aggregate of the matching inner rows, of all of them without ``on``; null where there are none."""
         return self._next(_subquery.scalar(self.df, inner.df, on, function, value, name), "join", inner, how="left", key=tuple(on))
 
     # --- sets ---
@@ -198,12 +199,12 @@ class Rel:
 
     def except_(self, other: Rel) -> Rel:
         self._same_width(other)
-        return self._next(self.df.subtract(other.df), "distinct")
+        return self._next(self.df.subtract(other.df), "except", other)
 
     def intersect(self, other: Rel) -> Rel:
         """Distinct rows that both sides have."""
         self._same_width(other)
-        return self._next(self.df.intersect(other.df), "distinct")
+        return self._next(self.df.intersect(other.df), "intersect", other)
 
     def intersect_by_key(self, other: Rel) -> Rel:
         """Distinct rows whose key the other side has too."""

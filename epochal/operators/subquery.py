@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import AGGREGATES
-from ..plans.refusal import Refused
 
 
 def _pairs(on: dict[str, str]) -> list[tuple[str, str]]:
@@ -54,7 +53,9 @@ def not_in(outer: DataFrame, probe: str, inner: DataFrame, value: str, on: dict[
 def scalar(outer: DataFrame, inner: DataFrame, on: dict[str, str], function: str, value: str, name: str) -> DataFrame:
     """outer with one aggregate of its matching inner rows; null where there are none, whatever the aggregate."""
     if not on:
-        raise Refused("NL0508", "an uncorrelated scalar subquery")
+        rows = F.count(F.lit(1))
+        one = inner.agg(F.when(rows > 0, AGGREGATES[function](value)).alias(name))
+        return outer.join(F.broadcast(one))  # one row
     keys = [b for _, b in _pairs(on)]
     grouped = inner.groupBy(*keys).agg(AGGREGATES[function](value).alias(name))
     right = grouped.select([F.col(c).alias(f"_i{k}") for k, c in enumerate(keys)] + [name])

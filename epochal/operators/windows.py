@@ -11,6 +11,11 @@ peers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +77,33 @@ def spread_row_number(df: DataFrame, partition: tuple[str, ...], order: tuple[tu
     local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy(*partition, "_part").orderBy(*own)))
     same = [local[c].eqNullSafe(before[c]) for c in [*partition, "_part"]]
     return local.join(before, same).select(*[local[c] for c in df.columns], (F.col("_before") + F.col("_local")).alias(name))
+
+
+def spaced(points: DataFrame, key: str, at: str, distance: int) -> DataFrame:
+    """Of each key's distinct points, the first, and then always the first that lies the distance or more beyond the last one taken.
+
+    Each taken point depends on the one before, so a key's points pass by in order; only the last one taken is kept in mind.
+    """
+    rows = points.select(key, F.col(at).cast("long").alias(at)).repartition(key).sortWithinPartitions(key, at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = object(), 0
+        for batch in batches:
+            keys, n = batch.column(0), len(batch)
+            if not n:
+                continue
+            values = batch.column(1).to_numpy(zero_copy_only=False)
+            change = np.r_[0, np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)) + 1]
+            taken: list[int] = []
+            for low, high in zip(change.tolist(), [*change[1:].tolist(), n]):
+                i, name = low, keys[low].as_py()
+                if name == own:
+                    i = low + int(np.searchsorted(values[low:high], last + distance))
+                while i < high:
+                    taken.append(i)
+                    last = int(values[i])
+                    i = i + int(np.searchsorted(values[i:high], last + distance))
+                own = name
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    return rows.filter(F.col(key).isNotNull()).mapInArrow(run, rows.schema)

@@ -12,6 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.refusal import Refused
+from .windows import spread, spread_row_number
+
 W = "_w"
 
 
@@ -164,3 +167,31 @@ def differentiate(deltas: DataFrame, at: int, epoch: str = "epoch") -> DataFrame
 def delay(deltas: DataFrame, by: int = 1, epoch: str = "epoch") -> DataFrame:
     """The same deltas, so many epochs later."""
     return deltas.withColumn(epoch, F.col(epoch) + by)
+
+
+def window(z: DataFrame, function: str, x: str | None = None, partition: tuple[str, ...] = (), order: tuple[tuple[str, str], ...] = (), name: str | None = None) -> DataFrame:
+    """z with a rank or a running aggregate over the copies that the weights stand for; a negative weight is refused.
+
+    Copies of a row are peers, so they share their value and stay one weighted row; row_number, which tells them apart,
+    gives rows of weight 1.
+    """
+    z = consolidated(weighted(z))
+    checked = F.when(F.col(W) > 0, F.col(W)).otherwise(F.raise_error(F.lit("NL0526: a window over rows of negative weight")).cast("long"))
+    z = z.withColumn(W, checked)
+    name = name or function
+    if function == "row_number":
+        each = z.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(W)))).drop(W)
+        return spread_row_number(each, partition, order, name).drop("_copy").withColumn(W, F.lit(1).cast("long"))
+    if function in ("min", "max", "dense_rank"):
+        return spread(z, function, x, partition, order, name).select(*columns(z), name, W)
+    many = {"sum": F.col(x).cast("decimal(38,0)") * F.col(W).cast("decimal(19,0)") if x else None, "count": F.col(W), "rank": F.col(W)}
+    if function not in many:
+        raise Refused("NL0527", function)
+    out = spread(z.withColumn("_x", many[function].cast("decimal(38,0)")), "sum", "_x", partition, order, name)
+    if function == "rank":  # the copies ahead of this one's peers, and one more
+        own = [*partition, *[c for c, _ in order]]
+        peers = z.groupBy(*own).agg(F.sum(W).alias("_peers")).toDF(*[f"_k{i}" for i in range(len(own))], "_peers")
+        same = [out[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(own)]
+        out = out.join(peers, same, "left").withColumn(name, F.col(name) - F.col("_peers") + 1)
+    value = F.col(name).cast("long") if function != "sum" else F.col(name).cast("decimal(38,0)")
+    return out.select(*columns(z), value.alias(name), W)

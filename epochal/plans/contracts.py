@@ -40,10 +40,6 @@ class Lineage(StrEnum):
     FULL = "full"
 
 
-#: What a miss costs at each rung, relative to the weakest.
-RUNG_COST = {Rung.BOUNDED: 1.0, Rung.MONOTONIC: 1.0, Rung.READ_YOUR_WRITES: 1.0, Rung.SNAPSHOT: 1.2, Rung.SERIALIZABLE: 1.6, Rung.LEDGER_CONSISTENT: 2.5}
-
-
 @dataclass(frozen=True)
 class Contract:
     """What a view promises its readers."""

@@ -54,17 +54,14 @@ CODES = {
     "22003": "an amount has more decimals than its currency",
     "22023": "an anchor or a currency that does not exist",
     "0A000": "not supported",
+    "40001": "another writer came between a serializable read and its commit",
     "IR001": "an operator with a wrong number of inputs",
     "IR010": "an infeasible contract",
     "IR011": "the strictest rung over a pinned anchor",
     "IR012": "evictable state that is not anchored to bases",
     "IR013": "evictable state without a way to rebuild it",
-    "IR014": "a base that is not retained forever",
-    "IR015": "a base that is partial",
     "IR016": "conservation claimed over an input that does not conserve",
-    "IR017": "a semi or anti join that changes the left columns",
     "IR018": "a dependent join in a served view",
-    "IR022": "a confidential column used in a computation",
 }
 
 
@@ -77,8 +74,8 @@ class Refused(ValueError):
 
 
 class NonTerminating(RuntimeError):
-    """A fixpoint that still finds new rows after its last round."""
+    """A fixpoint that still finds new rows after its last round, or whose guard broke."""
 
-    def __init__(self, rounds: int, tail: list[int]):
+    def __init__(self, rounds: int, tail: list[int], why: str = ""):
         self.rounds, self.tail = rounds, tail
-        super().__init__(f"no fixpoint after {rounds} rounds; the last rounds found {tail} new rows")
+        super().__init__(f"no fixpoint after {rounds} rounds; the last rounds found {tail} new rows" + f"; {why}" * bool(why))

@@ -1,15 +1,21 @@
 """A double-entry ledger over append-only Parquet, one folder for each epoch.
 
-Rows of an epoch are validated by three set queries, staged, and renamed into
-place; the epoch's own record comes last, and only epochs with a record exist.
-So a submission that dies half-way leaves nothing that a reader sees. Reads are
-folds over a prefix of epochs: a partition filter, then a grouped sum.
+A submission writes its rows to a folder of its own first, in account order, and
+everything after that reads those files: three set queries validate them, and
+their digest goes into the epoch's record. The record is created exclusively and
+names the folder, so of two writers one seals the epoch and the other validates
+again for the next one; nobody writes below a sealed epoch. The sealed folder is
+then renamed into place, by its writer or, if that died, by whoever comes next: no
+epoch is sealed before the one ahead of it is in place. Reads are folds over a
+prefix of epochs: a partition filter, then a grouped sum.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import json
+import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -18,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import total
 from ..functions.values import WIDE
+from ..operators.windows import spaced
 from ..plans.refusal import Refused
 from . import storage
 
@@ -27,8 +34,12 @@ RESOLUTIONS = "hold long, outcome string, captured decimal(38,0), value_date dat
 EPOCHS = "epoch long, idem string, parent string, hash string, sealed_at timestamp"
 TABLES = {"postings": POSTINGS, "holds": HOLDS, "resolutions": RESOLUTIONS}
 OUTCOMES = ("post", "void", "expire")
-#: Row digests in one group of the digest tree, on average.
-FAN_OUT = 4096
+#: The order in which a sealed epoch lies, so that a read of one account skips most of it.
+LAID = {"postings": ("acct", "cur"), "holds": ("id",), "resolutions": ("hold",)}
+#: Leading digits of the row digests that share a node of the digest tree, from the leaves to the root.
+LEVELS = (6, 3, 0)
+#: Holds that a submission resolves and that are looked up by value; more are joined.
+FEW_IDS = 1000
 
 
 class Rejected(ValueError):
@@ -91,19 +102,12 @@ def first_of_key(rows: DataFrame, key: str = "idem", epoch: str = "epoch", windo
     """Rows whose identity was not seen before within a window of epochs; the first stays.
 
     With a window, an identity counts again once the latest one that counted lies so many epochs back. That
-    depends on which earlier ones counted, so those groups are folded in order, and without one a minimum will do.
+    depends on which earlier ones counted, so each identity's epochs are walked in order; without one a minimum will do.
     """
     first = rows.groupBy(key).agg(F.min(epoch).alias("_first"))
     if window is None:
         return rows.join(first, key).filter(F.col(epoch) == F.col("_first")).drop("_first")
-    epochs = rows.select(key, epoch).distinct().groupBy(key).agg(F.sort_array(F.collect_list(epoch)).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("counted"))
-
-    def fold(state: Column, e: Column) -> Column:
-        counts = state["last"].isNull() | (e - state["last"] >= window)
-        return F.struct(F.when(counts, e).otherwise(state["last"]).alias("last"), F.when(counts, F.concat(state["counted"], F.array(e))).otherwise(state["counted"]).alias("counted"))
-
-    counted = epochs.select(key, F.explode(F.aggregate("all", start, fold)["counted"]).alias(epoch))
+    counted = spaced(rows.select(key, epoch).distinct(), key, epoch, window)
     return rows.join(counted, [key, epoch], "left_semi")
 
 
@@ -111,6 +115,24 @@ def key_exists_at(postings: DataFrame, acct: int, cur: int, epoch: int) -> bool:
     return not upto(postings, epoch).filter((F.col("acct") == acct) & (F.col("cur") == cur)).isEmpty()
 
 
+def postings_for(postings: DataFrame, acct: int, epoch: int | None = None) -> DataFrame:
+    """The postings of one account up to an epoch; sealed epochs lie in account order, so little else is read."""
+    return upto(postings, epoch).filter(F.col("acct") == acct)
+
+
+def hold_outcomes(holds: DataFrame, resolutions: DataFrame, epoch: int | None = None) -> DataFrame:
+    """For each outcome: holds resolved up to an epoch, their amount, what was captured, and what was released.
+
+    A hold posts what it captures, all of it where nothing else is said; the rest is released.
+    """
+    rows = upto(resolutions, epoch).join(upto(holds, epoch).select(F.col("id").alias("hold"), "amount"), "hold")
+    given = F.col("captured") if "captured" in resolutions.columns else F.lit(None)
+    taken = F.when(F.col("outcome") == "post", F.coalesce(given.cast(WIDE), F.col("amount").cast(WIDE))).otherwise(F.lit(0).cast(WIDE))
+    rows = rows.select("outcome", F.col("amount").cast(WIDE).alias("amount"), taken.alias("captured"))
+    sums = [F.sum(c).cast(WIDE).alias(c) for c in ("amount", "captured")]
+    return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), *sums).withColumn("released", (F.col("amount") - F.col("captured")).cast(WIDE))
+
+
 def key_update_count(postings: DataFrame, epoch: int | None = None) -> DataFrame:
     return upto(postings, epoch).groupBy("acct").agg(F.count(F.lit(1)).alias("updates"))
 
@@ -135,23 +157,19 @@ def row_digest(*fields: Column | str) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def rows_digest(digests: DataFrame, group: str, fan_out: int = FAN_OUT) -> DataFrame:
+def rows_digest(digests: DataFrame, group: str, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """One digest for each group over the multiset of its row digests (column digest).
 
-    Digests are gathered by their leading digits into nodes of some fan_out, each
-    hashed in sorted order, level by level, so that no task holds all rows of a group.
+    Digests that share their leading digits are a node, hashed in sorted order, level by level. The tree is the
+    same for every group, whatever its size or its company: a leaf has one row of 16 million on average and a node
+    above has at most 4096 children, so no task holds all rows of a group.
     """
-    largest = digests.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    digits = 0
-    while largest > fan_out * 16**digits:
-        digits += 1
-    level = digests.select(group, F.substring("digest", 1, digits).alias("prefix"), "digest")
-    while True:
+    level = digests.select(group, F.substring("digest", 1, levels[0]).alias("prefix"), "digest")
+    for at, digits in enumerate(levels):
         level = level.groupBy(group, "prefix").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ""), 256).alias("digest"))
-        if digits == 0:
-            return level.select(group, "digest")
-        digits = max(0, digits - 3)  # a node has 4096 children at most
-        level = level.select(group, F.substring("prefix", 1, digits).alias("prefix"), F.concat("prefix", "digest").alias("digest"))
+        if at + 1 < len(levels):
+            level = level.select(group, F.substring("prefix", 1, levels[at + 1]).alias("prefix"), F.concat("prefix", "digest").alias("digest"))
+    return level.select(group, "digest")
 
 
 # --- the ledger ---
@@ -168,72 +186,137 @@ class Ledger:
     root: str
     window: int | None = None
     open: dict | None = field(default=None, repr=False)
+    _seen: int = field(default=-1, repr=False)
 
     def __post_init__(self) -> None:
         if self.window is not None and self.window < 1:
             raise Refused("NL0217", str(self.window))
 
-    def _epochs(self) -> list[int]:
-        return sorted(int(n.split("=")[1]) for n in storage.names(self.spark, f"{self.root}/epochs") if n.startswith("epoch="))
+    # --- records ---
+
+    def _record(self, epoch: int) -> str:
+        return f"{self.root}/epochs/{epoch:012d}.json"
+
+    def _key(self, key: str) -> str:
+        return f"{self.root}/keys/{hashlib.sha256(key.encode()).hexdigest()}"
+
+    def record(self, epoch: int) -> dict | None:
+        """What an epoch's record says, None if the epoch is not sealed."""
+        text = storage.said(self.spark, self._record(epoch))
+        return None if text is None else json.loads(text)
 
     def head(self) -> int:
-        """The newest epoch, -1 before the first."""
-        return max(self._epochs(), default=-1)
+        """The newest epoch, -1 before the first. Records have no gaps, so a few looks find it; nothing is listed."""
+        there = lambda e: storage.exists(self.spark, self._record(e))
+        if not there(self._seen + 1):
+            return self._seen
+        low, step = self._seen + 1, 1
+        while there(low + step):
+            low, step = low + step, 2 * step
+        high = low + step
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if there(middle) else (low, middle)
+        self._settled(low)
+        self._seen = low
+        return low
+
+    def _settled(self, epoch: int) -> None:
+        """Put a sealed epoch in place: its folders, and the note of its idempotency key. Doing it twice changes nothing."""
+        said = self.record(epoch)
+        for name, staged in said["data"].items():
+            target = f"{self.root}/{name}/epoch={epoch}"
+            if storage.exists(self.spark, staged):
+                try:
+                    storage.moved(self.spark, staged, target)
+                except Exception:
+                    if not storage.exists(self.spark, target):  # else another one was faster
+                        raise
+        storage.claimed(self.spark, f"{self._key(said['idem'])}/{epoch:012d}", "")
 
     def table(self, name: str) -> DataFrame:
         """The sealed rows of postings, holds or resolutions, with their epoch."""
-        schema = f"{TABLES[name]}, epoch long"
+        schema, head = f"{TABLES[name]}, epoch long", self.head()
         if not storage.exists(self.spark, f"{self.root}/{name}"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}").filter(F.col("epoch") <= self.head())
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}").filter(F.col("epoch") <= head)
 
     def epochs(self) -> DataFrame:
         """One record for each epoch: its idempotency key, its parent's digest and its own."""
         if self.head() < 0:
             return self.spark.createDataFrame([], EPOCHS)
-        return self.spark.read.schema(EPOCHS).parquet(f"{self.root}/epochs")
+        return self.spark.read.schema(EPOCHS).option("pathGlobFilter", "*.json").json(f"{self.root}/epochs")
+
+    # --- the commit rule ---
 
-    def _admitted(self, key: str, rows: dict[str, DataFrame], head: int) -> None:
-        since = -1 if self.window is None else head - self.window
-        if not self.epochs().filter((F.col("idem") == key) & (F.col("epoch") > since)).isEmpty():
+    def _known(self, name: str, column: str, asked: DataFrame, n: int) -> DataFrame:
+        """Those of the n asked ids that are in a sealed table, found by value where they are few."""
+        rows = self.table(name).select(F.col(column).alias("id"))
+        if n <= FEW_IDS:
+            return rows.filter(F.col("id").isin([r.id for r in asked.collect()])).distinct()
+        return rows.join(F.broadcast(asked) if n <= 1_000_000 else asked, "id", "left_semi").distinct()  # 8 bytes an id
+
+    def _admitted(self, key: str, resolutions: DataFrame, head: int) -> None:
+        """What depends on the epochs before: the idempotency window, and whether the holds are open."""
+        last = max(map(int, storage.names(self.spark, self._key(key))), default=-1)
+        if last >= 0 and (self.window is None or last > head - self.window):
             raise Rejected("duplicate", key)
+        asked = resolutions.select(F.col("hold").alias("id"))
+        n = asked.count()
+        if n:
+            unknown = asked.join(self._known("holds", "id", asked, n), "id", "left_anti")
+            bad = unknown.unionByName(self._known("resolutions", "hold", asked, n))
+            if found := bad.limit(1).collect():
+                raise Rejected("bad_resolution", f"hold {found[0].id}")
+
+    def _balanced(self, rows: dict[str, DataFrame]) -> None:
+        """What depends on the rows alone: conservation, known outcomes, one resolution a hold."""
         wrong = unbalanced(rows["postings"]).limit(1).collect()
         if wrong:
             raise Rejected("unbalanced", f"transaction {wrong[0].txn}, currency {wrong[0].cur}: {wrong[0].total}")
         asked = rows["resolutions"].select(F.col("hold").alias("id"), "outcome")
-        bad = asked.filter(~F.col("outcome").isin(*OUTCOMES)).select("id")
-        bad = bad.unionByName(asked.groupBy("id").count().filter("count > 1").select("id"))
-        bad = bad.unionByName(asked.select("id").join(self.table("holds").select("id"), "id", "left_anti"))
-        bad = bad.unionByName(asked.select("id").join(self.table("resolutions").select(F.col("hold").alias("id")), "id", "left_semi"))
+        bad = asked.filter(~F.coalesce(F.col("outcome").isin(*OUTCOMES), F.lit(False))).select("id")
+        bad = bad.unionByName(asked.groupBy("id").count().filter("count > 1 or id is null").select("id"))
         if found := bad.limit(1).collect():
             raise Rejected("bad_resolution", f"hold {found[0].id}")
 
     def submit(self, key: str, postings: DataFrame | None = None, holds: DataFrame | None = None, resolutions: DataFrame | None = None) -> int:
-        """Admit rows as one epoch, or reject them all; the epoch's number."""
+        """Admit rows as one epoch, or reject them all; the epoch's number.
+
+        The given frames are evaluated once. A writer that finds its epoch taken is checked against the new head
+        and takes the next one.
+        """
         if self.open is not None:
             for name, df in (("postings", postings), ("holds", holds), ("resolutions", resolutions)):
                 if df is not None:
                     self.open[name].append(df)
             return -1
-        given = {"postings": postings, "holds": holds, "resolutions": resolutions}
-        rows = {n: self._shaped(n, df, key) for n, df in given.items()}
-        head = self.head()
-        self._admitted(key, rows, head)
-        epoch = head + 1
-        parent = self.epochs().filter(F.col("epoch") == head).first().hash if head >= 0 else "0" * 64
-        digest = self._digest(rows, parent)
-        for name, df in given.items():
-            if df is not None:
-                staged = f"{self.root}/_staged/{name}-{epoch}"
-                storage.removed(self.spark, staged)
-                rows[name].write.parquet(staged)
-                storage.removed(self.spark, f"{self.root}/{name}/epoch={epoch}")  # of a submission that died
-                storage.moved(self.spark, staged, f"{self.root}/{name}/epoch={epoch}")
-        record = self.spark.createDataFrame([(key, parent, digest, datetime.datetime.now())], "idem string, parent string, hash string, sealed_at timestamp")
-        staged = f"{self.root}/_staged/epoch-{epoch}"
-        storage.removed(self.spark, staged)
-        record.coalesce(1).write.parquet(staged)
-        storage.moved(self.spark, staged, f"{self.root}/epochs/epoch={epoch}")  # fails if another writer sealed it
+        folder = f"{self.root}/_staged/{uuid.uuid4().hex}"
+        rows, data = {}, {}
+        try:
+            for name, df in (("postings", postings), ("holds", holds), ("resolutions", resolutions)):
+                rows[name] = self._shaped(name, df, key)
+                if df is not None:
+                    data[name] = f"{folder}/{name}"
+                    laid = rows[name].repartitionByRange(*LAID[name]).sortWithinPartitions(*LAID[name])
+                    rows[name] = storage.written(laid, data[name])
+            self._balanced(rows)
+            bodies = self._bodies(rows)
+            while True:
+                epoch = self.head() + 1
+                self._admitted(key, rows["resolutions"], epoch - 1)
+                parent = self.record(epoch - 1)["hash"] if epoch else "0" * 64
+                digest = hashlib.sha256("|".join([parent, *bodies]).encode()).hexdigest()
+                now = datetime.datetime.now(datetime.UTC).isoformat()
+                said = {"epoch": epoch, "idem": key, "parent": parent, "hash": digest, "sealed_at": now, "data": data}
+                if storage.claimed(self.spark, self._record(epoch), json.dumps(said)):
+                    break
+        except BaseException:
+            storage.removed(self.spark, folder)
+            raise
+        self._settled(epoch)
+        self._seen = epoch
+        storage.removed(self.spark, folder)  # empty by now
         return epoch
 
     def _shaped(self, name: str, df: DataFrame | None, key: str) -> DataFrame:
@@ -247,9 +330,6 @@ class Ledger:
                 df = df.withColumn(f.name, F.lit(None))
         return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
-    def _digest(self, rows: dict[str, DataFrame], parent: str) -> str:
-        return hashlib.sha256("|".join([parent, *self._bodies(rows)]).encode()).hexdigest()
-
     def _bodies(self, rows: dict[str, DataFrame]) -> list[str]:
         out = []
         for name, df in rows.items():
@@ -259,21 +339,19 @@ class Ledger:
         return out
 
     def verify_chain(self) -> bool:
-        """Whether every epoch's rows and parent give the digest in its record."""
-        records = {r.epoch: r for r in self.epochs().collect()}  # one small row for each epoch
-        bodies: dict[int, list[str]] = {e: [] for e in records}
+        """Whether every epoch's rows and parent give the digest in its record, and no record is missing."""
+        head, records = self.head(), self.epochs()
+        bodies = records
         for name in TABLES:
             fields = [x.split()[0] for x in TABLES[name].split(", ")]
-            found = {r.epoch: r.digest for r in rows_digest(self.table(name).select("epoch", row_digest(*fields).alias("digest")), "epoch").collect()}
-            for e in records:
-                bodies[e].append(f"{name}:{found.get(e, '')}")
-        parent = "0" * 64
-        for e in sorted(records):
-            own = hashlib.sha256("|".join([parent, *bodies[e]]).encode()).hexdigest()
-            if records[e].parent != parent or records[e].hash != own:
-                return False
-            parent = own
-        return True
+            found = rows_digest(self.table(name).select("epoch", row_digest(*fields).alias("digest")), "epoch")
+            bodies = bodies.join(found.withColumnRenamed("digest", name), "epoch", "left")
+        parts = [F.concat(F.lit(f"{name}:"), F.coalesce(name, F.lit(""))) for name in TABLES]
+        before = records.select((F.col("epoch") + 1).alias("epoch"), F.col("hash").alias("before"))
+        own = F.sha2(F.concat_ws("|", "parent", *parts), 256)
+        good = (F.col("hash") == own) & (F.col("parent") == F.coalesce("before", F.lit("0" * 64)))
+        n, right = bodies.join(before, "epoch", "left").agg(F.count(F.lit(1)), F.sum(F.coalesce(good, F.lit(False)).cast("long"))).first()
+        return n == head + 1 and (right or 0) == n
 
     @contextmanager
     def txn(self, key: str):

@@ -1,45 +1,70 @@
 """Per-key checkpoints: each key's running totals after every so many of its rows.
 
-A read of one key at an epoch then folds the newest checkpoint up to it and fewer
-than ``every`` rows, however long the key's history is.
+A checkpoint names the place of its last row, epoch and order columns, beside the
+totals. A read of one key at an epoch then takes the newest checkpoint up to it
+and the rows behind that place, fewer than ``every`` and their peers, however long
+the key's history is: a comparison of places picks them, nothing is numbered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import WIDE
-
-
-def _numbered(base: DataFrame, keys: tuple[str, ...], epoch: str, order: tuple[str, ...]) -> DataFrame:
-    own = Window.partitionBy(*keys).orderBy(epoch, *order)
-    return base.withColumn("_n", F.row_number().over(own))
-
-
-def _group(every: int) -> Column:
-    """Which run of ``every`` rows a row is in."""
-    return F.ceil(F.col("_n") / every)
+from ..operators.windows import spread
 
 
 def checkpoints(base: DataFrame, keys: tuple[str, ...], value: str, every: int, epoch: str = "epoch", order: tuple[str, ...] = ()) -> DataFrame:
-    """keys, epoch, n and total after each ``every`` rows of a key, in the order of epoch and ``order``.
+    """keys, epoch, order columns, n and total after each ``every`` rows of a key, in the order of epoch and ``order``.
 
-    Runs are summed first, so the window that adds them up has one row for each checkpoint.
+    Rows that are equal in these are peers and are not parted: a checkpoint stands behind the last of them. Totals run
+    over peers dealt by range, so a key with a third of all rows is no task's work alone.
     """
     if every < 1:
         raise ValueError("a checkpoint interval is 1 or more")
-    rows = _numbered(base, keys, epoch, order).withColumn("_run", _group(every))
-    runs = rows.groupBy(*keys, "_run").agg(F.sum(F.col(value).cast(WIDE)).alias("_sum"), F.max(epoch).alias(epoch), F.max("_n").alias("n"))
-    so_far = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return runs.withColumn("total", F.sum("_sum").over(so_far).cast(WIDE)).filter(F.col("n") % every == 0).select(*keys, epoch, "n", "total")
+    place = (epoch, *order)
+    amount = F.sum(F.col(value).cast(WIDE)).alias("_sum")
+    peers = base.groupBy(*keys, *place).agg(amount, F.count(F.lit(1)).alias("_own"))
+    ways = tuple((c, "asc") for c in place)
+    run = spread(spread(peers, "sum", "_own", keys, ways, "n"), "sum", "_sum", keys, ways, "total")
+    run = run.withColumn("n", F.col("n").cast("long"))
+    reached = F.expr(f"n div {every}") > F.expr(f"(n - _own) div {every}")
+    return run.filter(reached).select(*keys, *place, "n", F.col("total").cast(WIDE).alias("total"))
+
+
+def _behind(place: tuple[str, ...], last: str) -> Column:
+    """Whether a row's place lies behind the one in the struct ``last``; nulls come first."""
+    out, same = F.lit(False), F.lit(True)
+    for c in place:
+        a, b = F.col(c), F.col(f"{last}.{c}")
+        later = F.coalesce(a > b, a.isNotNull() & b.isNull())
+        out = out | (same & later)
+        same = same & a.eqNullSafe(b)
+    return out
 
 
 def rebuilt(base: DataFrame, held: DataFrame, keys: tuple[str, ...], value: str, anchor: int, epoch: str = "epoch", order: tuple[str, ...] = ()) -> DataFrame:
-    """Every key's total at an epoch, from its newest checkpoint up to it and the rows since; suffix says how many those were."""
-    newest = held.filter(F.col(epoch) <= anchor).groupBy(*keys).agg(F.max(F.struct("n", "total")).alias("_at"))
-    rows = _numbered(base.filter(F.col(epoch) <= anchor), keys, epoch, order)
-    joined = rows.join(newest, [*keys], "left").filter(F.col("_at").isNull() | (F.col("_n") > F.col("_at.n")))
-    suffix = joined.groupBy(*keys).agg(F.sum(F.col(value).cast(WIDE)).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    """Every key's total at an epoch, from its newest checkpoint up to it and the rows since; suffix says how many those were.
+
+    For some keys only, filter both frames: the filter reaches their scans.
+    """
+    place = (epoch, *order)
+    newest = held.filter(F.col(epoch) <= anchor).groupBy(*keys).agg(F.max(F.struct("n", *place, "total")).alias("_at"))
+    rows = base.filter(F.col(epoch) <= anchor).join(newest, [*keys], "left").filter(F.col("_at").isNull() | _behind(place, "_at"))
+    suffix = rows.groupBy(*keys).agg(F.sum(F.col(value).cast(WIDE)).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
     out = newest.select(*keys, F.col("_at.total").alias("_sum"), F.lit(0).cast("long").alias("_rows")).unionByName(suffix)
     return out.groupBy(*keys).agg(F.sum("_sum").cast(WIDE).alias("total"), F.sum("_rows").alias("suffix"))
+
+
+def point(base: DataFrame, held: DataFrame, key: dict, value: str, anchor: int, epoch: str = "epoch", order: tuple[str, ...] = ()) -> DataFrame:
+    """One key's total at an epoch: its newest checkpoint, then the rows of the key from that epoch on.
+
+    The key and the epoch are values in the scan's filter, so a base in key order opens little else.
+    """
+    for c, v in key.items():
+        base, held = (df.filter(F.col(c).eqNullSafe(F.lit(v))) for df in (base, held))
+    last = held.filter(F.col(epoch) <= anchor).agg(F.max(F.struct("n", epoch)).alias("at")).first().at  # one row
+    rows = base if last is None else base.filter(F.col(epoch) >= last[epoch])
+    near = held if last is None else held.filter(F.col("n") == last.n)
+    return rebuilt(rows, near, tuple(key), value, anchor, epoch, order)

@@ -25,7 +25,7 @@ from ..sources import storage
 
 @dataclass
 class View:
-    """sums: output name to summed column. updates counts the base rows of a key."""
+    """sums: output name to summed column. updates counts the base rows of a key. relation names the base in a catalog."""
 
     spark: SparkSession
     root: str
@@ -35,6 +35,7 @@ class View:
     epoch: str = "epoch"
     compact_every: int = 16
     checkpoint_every: int = 0
+    relation: str | None = None
 
     def __post_init__(self) -> None:
         self.contract.checked()
@@ -163,15 +164,29 @@ class View:
             rows = rows.filter(F.col(name).eqNullSafe(F.lit(value)))
         return rows, "view" if hit else "reconstruction"
 
-    def anchor_for(self, head: int, session: int = -1) -> int:
-        """The epoch that a read at the contract's rung is answered at."""
+    def anchor_for(self, head: int, session: int = -1, wrote: int = -1, pinned: int | None = None) -> int:
+        """The epoch that a read at the contract's rung is answered at.
+
+        session is the newest epoch that the session has seen, wrote the newest it has written, pinned the anchor of the
+        read set it is in. bounded: what is applied, if that lies within the bound, or else the oldest epoch that does.
+        monotonic: nothing older than seen. read your writes: nothing older than written. snapshot and serializable:
+        the read set's anchor, or without one the head. ledger-consistent: the head, in a read set too.
+        """
         rung, done = self.contract.consistency, self.applied()
         if rung is Rung.BOUNDED:
             return max(done, head - self.contract.bound_epochs, session)
-        if rung in (Rung.MONOTONIC, Rung.READ_YOUR_WRITES):
+        if rung is Rung.MONOTONIC:
             return max(done, session)
+        if rung is Rung.READ_YOUR_WRITES:
+            return max(done, wrote)
+        if rung in (Rung.SNAPSHOT, Rung.SERIALIZABLE) and pinned is not None:
+            return pinned
         return head
 
+    def counted(self) -> tuple[int, int]:
+        """Written parts that cover the state, and checkpoints."""
+        return len(self._current()), len(self._parts("checkpoint"))
+
     # --- lineage ---
 
     def reproduce(self, base: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from epochal.plans.refusal import Refused
 from epochal.session import Engine
 from epochal.sources import ledger, storage
 from epochal.sources.ledger import Ledger, Rejected
+from epochal.streaming import checkpoints
 from epochal.streaming.views import View
 
 POSTING = "txn long, acct long, cur int, amt long, value_date date"
@@ -78,11 +79,88 @@ def test_tampering_is_found(spark, book, tmp_path):
     assert not book.verify_chain()
 
 
+def pair(spark, t, x=5):
+    return legs(spark, (t, 7, 0, x, 0), (t, 8, 0, -x, 0))
+
+
+def test_two_writers(spark, book, monkeypatch):
+    """A second writer seals the epoch between the first one's look at the head and its claim."""
+    rival, claimed, met = Ledger(spark, book.root), storage.claimed, []
+
+    def late(session, path, text):
+        if not met and path.endswith(f"{0:012d}.json"):
+            met.append("now")
+            met.append(rival.submit("rival", pair(spark, 1)))
+        return claimed(session, path, text)
+
+    monkeypatch.setattr(storage, "claimed", late)
+    assert book.submit("own", pair(spark, 2)) == 1 and met == ["now", 0]
+    rows = {(r.epoch, r.txn) for r in book.table("postings").collect()}
+    assert rows == {(0, 1), (1, 2)} and book.verify_chain() and rival.verify_chain()
+
+
+def test_a_rival_of_the_same_key_is_a_duplicate(spark, book, monkeypatch):
+    rival, claimed, met = Ledger(spark, book.root), storage.claimed, []
+
+    def late(session, path, text):
+        if not met and path.endswith(f"{0:012d}.json"):
+            met.append("now")
+            rival.submit("same", pair(spark, 1))
+        return claimed(session, path, text)
+
+    monkeypatch.setattr(storage, "claimed", late)
+    with pytest.raises(Rejected, match="duplicate"):
+        book.submit("same", pair(spark, 1))
+    assert book.table("postings").count() == 2 and book.verify_chain()
+    assert not [x for x in storage.names(spark, f"{book.root}/_staged")]
+
+
+def test_a_writer_that_dies_after_its_claim(spark, book, monkeypatch):
+    """The epoch is sealed, its folders are not in place: the next one who looks puts them there."""
+    monkeypatch.setattr(Ledger, "_settled", lambda self, epoch: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError, match="gone"):
+        book.submit("a", pair(spark, 1))
+    monkeypatch.undo()
+    other = Ledger(spark, book.root)
+    assert other.head() == 0 and other.table("postings").count() == 2 and other.verify_chain()
+    with pytest.raises(Rejected, match="duplicate"):
+        other.submit("a", pair(spark, 1))
+    assert other.submit("b", pair(spark, 2)) == 1 and other.verify_chain()
+
+
+def test_a_source_that_is_not_deterministic(spark, book):
+    """What was checked is what is sealed: the rows are computed once."""
+    x = F.floor(F.rand() * 1_000_000).cast("long")
+    rows = spark.range(200).select(F.col("id").alias("txn"), F.explode(F.array(F.lit(7), F.lit(8))).alias("acct"), F.lit(0).alias("cur"), x.alias("amt"))
+    with pytest.raises(Rejected, match="unbalanced"):
+        book.submit("random", rows)
+    half = spark.range(200).select(F.col("id").alias("txn"), x.alias("x"))
+    even = half.select("txn", F.explode(F.array(F.struct(F.lit(7).alias("acct"), F.col("x").alias("amt")), F.struct(F.lit(8).alias("acct"), (-F.col("x")).alias("amt")))).alias("leg"))
+    book.submit("even", even.select("txn", "leg.acct", F.lit(0).alias("cur"), "leg.amt"))
+    assert book.verify_chain() and ledger.unbalanced(book.table("postings")).isEmpty()
+
+
+def test_epochs_lie_in_account_order(spark, book):
+    rows = [(t, a, 0, 1 if a % 2 else -1, 0) for t in range(50) for a in (2 * t + 1, 2 * t + 2)]
+    book.submit("many", legs(spark, *rows))
+    files = spark.read.parquet(f"{book.root}/postings/epoch=0").select("acct", F.input_file_name().alias("f")).collect()
+    per_file = defaultdict(list)
+    for r in files:
+        per_file[r.f].append(r.acct)
+    assert all(a == sorted(a) for a in per_file.values())
+    assert [r.txn for r in ledger.postings_for(book.table("postings"), 41).collect()] == [20]
+    plan = ledger.postings_for(book.table("postings"), 41)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(acct,41)" in plan
+
+
 def test_digest_tree_does_not_depend_on_order_but_on_every_row(spark):
     rows = spark.range(500).select(F.lit(0).alias("g"), ledger.row_digest("id").alias("digest"))
-    one = ledger.rows_digest(rows, "g", fan_out=4).first().digest
-    assert one == ledger.rows_digest(rows.repartition(7).orderBy("digest"), "g", fan_out=4).first().digest
-    assert one != ledger.rows_digest(rows.limit(499), "g", fan_out=4).first().digest
+    one = ledger.rows_digest(rows, "g", (2, 1, 0)).first().digest
+    assert one == ledger.rows_digest(rows.repartition(7).orderBy("digest"), "g", (2, 1, 0)).first().digest
+    assert one != ledger.rows_digest(rows.limit(499), "g", (2, 1, 0)).first().digest
+    own = ledger.rows_digest(rows, "g").first().digest  # the company of a larger group changes nothing
+    both = rows.unionByName(spark.range(9000).select(F.lit(1).alias("g"), ledger.row_digest("id").alias("digest")))
+    assert own == ledger.rows_digest(both, "g").filter("g = 0").first().digest
     pair = spark.createDataFrame([("1", "23"), ("12", "3"), (None, "n")], "a string, b string")
     assert pair.select(ledger.row_digest("a", "b")).distinct().count() == 3
 
@@ -112,6 +190,42 @@ def test_transaction(spark, book):
     assert book.head() == 0 and book.open is None
 
 
+def test_many_epochs_are_found_without_a_list(spark, book, monkeypatch):
+    for i in range(6):
+        book.submit(str(i), pair(spark, i))
+    looks, exists = [], storage.exists
+    monkeypatch.setattr(storage, "exists", lambda s, p: (looks.append(p), exists(s, p))[1])
+    assert Ledger(spark, book.root).head() == 5 and len([p for p in looks if "/epochs/" in p]) < 10
+    looks.clear()
+    assert book.head() == 5 and len(looks) == 1
+
+
+def test_hold_outcomes(spark):
+    held = spark.createDataFrame([(1, 7, 0, 30), (2, 7, 0, 5), (3, 8, 0, 9), (4, 8, 0, 1)], "id long, acct long, cur int, amount long")
+    done = spark.createDataFrame([(1, "post", 20), (2, "post", None), (3, "void", 4)], "hold long, outcome string, captured long")
+    got = {r.outcome: (r.n, int(r.amount), int(r.captured), int(r.released)) for r in ledger.hold_outcomes(held, done).collect()}
+    assert got == {"post": (2, 35, 25, 10), "void": (1, 9, 0, 9)}
+
+
+def test_spaced_points_against_a_walk(spark):
+    rng = random.Random(5)
+    rows = [(f"k{rng.randrange(6)}", rng.randrange(400)) for _ in range(600)] + [("hot", e) for e in range(0, 3000, 2)]
+    want = set()
+    for k in {k for k, _ in rows}:
+        last = None
+        for e in sorted({e for x, e in rows if x == k}):
+            if last is None or e >= last + 7:
+                want.add((k, e))
+                last = e
+    frame = spark.createDataFrame([*rows, (None, 3)], "idem string, epoch long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = ledger.first_of_key(frame, window=7).distinct().collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {tuple(r) for r in got} == want
+
+
 def test_scaled_amounts(spark):
     rows = spark.createDataFrame([(0, "1.50"), (1, "150")], "cur int, text string")
     assert [int(r.amt) for r in ledger.scaled(rows, "text", {0: 2, 1: 0}).collect()] == [150, 150]
@@ -207,6 +321,16 @@ def test_statements(spark, tmp_path):
     for text in ("delete from postings", "commit", "insert into other values (1, 2, 3, 4)", "insert into postings values (1)"):
         with pytest.raises(Refused):
             engine.sql(text)
+    again = "insert into postings values (5, 7, 0, 2), (5, 8, 0, -2)"
+    head = engine.head
+    assert engine.serve_path(again) == "write" and engine.explain(again) == "write\ninsert" and engine.check(again) == "ok"
+    assert engine.ledger.head() == engine.head == head  # explaining it posts nothing
+    engine.sql(again)
+    for retry in (again, again.replace("into ", "into  ")):
+        with pytest.raises(Rejected, match="duplicate"):
+            engine.sql(retry)
+    engine.sql(again, key="on purpose")
+    assert engine.head == head + 2 and engine.check("insert into postings values (1)") == "NL0512"
     engine.sql("create materialized view totals as select cur, cast(sum(amt) as bigint) as s from postings group by cur")
     assert sorted(map(tuple, engine.sql("select * from totals").collect())) == [(0, 0), (1, 0)]
     assert engine.ledger.verify_chain()
@@ -227,3 +351,62 @@ def test_session_reads(spark, tmp_path):
     assert engine.read("session")[0].first().anchor == 9  # anchors never go back
     assert strict.emit(f"file://{tmp_path}/sink") and not strict.emit(f"file://{tmp_path}/sink")
     assert spark.read.parquet(f"{tmp_path}/sink").first().anchor == 5
+
+
+def test_read_sets(spark, tmp_path):
+    """One anchor for the views of a read set; the strictest rung looks at the ledger itself; a serializable read guards its block."""
+    book = Ledger(spark, f"file://{tmp_path}/book")
+    book.submit("a", pair(spark, 1))
+    made = lambda rung, name: View(spark, f"file://{tmp_path}/{name}", ("acct", "cur"), {"balance": "amt"}, Contract(rung), relation="postings")
+    views = {"snap": made(Rung.SNAPSHOT, "1"), "serial": made(Rung.SERIALIZABLE, "2"), "strict": made(Rung.LEDGER_CONSISTENT, "3"), "mine": made(Rung.READ_YOUR_WRITES, "4")}
+    engine = Engine(spark, ledger=book, head=0, views=views, scales={0: 0})
+    engine.add("postings", book.table("postings"), kind="ledger", key=("acct",), epoch="epoch", conserves=("txn", "cur"))
+    for v in views.values():
+        v.backfill(book.table("postings"), 0)
+    at = lambda name: engine.read(name)[0].first().anchor
+    with engine.snapshot() as pinned:
+        assert (pinned, at("snap")) == (0, 0)
+        Ledger(spark, book.root).submit("b", pair(spark, 2))
+        engine.add("postings", book.table("postings"), kind="ledger", key=("acct",), epoch="epoch", conserves=("txn", "cur"))
+        assert (at("snap"), at("strict")) == (0, 1)
+    with pytest.raises(Refused, match="40001"), engine.snapshot(1):
+        assert at("serial") == 1
+        Ledger(spark, book.root).submit("c", pair(spark, 3))
+    with engine.snapshot(2):
+        at("serial")
+        engine.sql("insert into postings values (9, 7, 0, 1), (9, 8, 0, -1)")  # its own write is no one else's
+    assert engine.head == 3 and at("mine") == 3 and at("snap") == 3
+    stats = {r.view: (r.reads, r.hits, r.misses) for r in engine.statistics().collect()}
+    assert stats == {"snap": (3, 2, 1), "serial": (2, 0, 2), "strict": (1, 0, 1), "mine": (1, 0, 1)}
+    with pytest.raises(Refused, match="none has"):
+        Engine(spark, views={"x": View(spark, f"file://{tmp_path}/5", ("nobody",), {"balance": "amt"})}).read("x")
+
+
+def test_checkpoints_read_a_suffix(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([0, 0, 0, 1, 2]), rng.randrange(60), rng.randrange(3), rng.randrange(-9, 9)) for _ in range(700)] + [(3, None, 0, 4)]
+    base = spark.createDataFrame(rows, "acct long, epoch long, place long, amt long")
+    held = storage.written(checkpoints.checkpoints(base, ("acct",), "amt", 16, order=("place",)))
+    for anchor in (0, 17, 59):
+        got = {r.acct: (int(r.total), r.suffix) for r in checkpoints.rebuilt(base, held, ("acct",), "amt", anchor, order=("place",)).collect()}
+        for acct in {a for a, e, _, _ in rows if e is not None and e <= anchor}:
+            own = [x for a, e, _, x in rows if a == acct and e is not None and e <= anchor]
+            assert got[acct][0] == sum(own) and got[acct][1] < 16 + 12  # and the last one's peers
+            one = checkpoints.point(base, held, {"acct": acct}, "amt", anchor, order=("place",)).first()
+            assert int(one.total) == sum(own)
+    plan = checkpoints.rebuilt(base, held, ("acct",), "amt", 30, order=("place",))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_intermediate_tables(spark, monkeypatch):
+    with storage.owned(spark) as folder:
+        assert storage.written(spark.range(3)).count() == 3 and storage.names(spark, folder)
+    assert not storage.exists(spark, folder)
+    assert f"epochal-{spark.sparkContext.applicationId}" in storage.shared_dir(spark)
+
+    class Elsewhere:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.base_dir(Elsewhere)

@@ -12,7 +12,7 @@ from epochal.functions import values
 from epochal.operators import subquery
 from epochal.operators.fixpoint import fixpoint
 from epochal.operators.relation import Rel
-from epochal.plans import contracts, materialise, nodes
+from epochal.plans import contracts, nodes
 from epochal.plans.refusal import NonTerminating, Refused
 from epochal.sources.relations import Catalog, Relation, changes, confidential
 
@@ -181,17 +181,6 @@ def test_contracts():
     contracts.check_order("report", c(r.BOUNDED), {"balance": c(r.READ_YOUR_WRITES)})
 
 
-def test_planner():
-    c, m, seen = contracts.Contract, contracts.Materialize, materialise.Observed
-    busy, idle = seen(100, 1, 1000, 16, 0.001), seen(0, 100, 10, 0, 1.0)
-    assert materialise.planned(c(), busy).mode is m.DEMAND and materialise.planned(c(), busy).budget >= 1
-    assert materialise.planned(c(), seen(100, 1, 1000, 16, 0)).mode is m.FULL
-    assert materialise.planned(c(), idle).mode is m.ABSENT
-    pinned = materialise.planned(c(retain=contracts.Retain.PINNED), busy)
-    assert pinned.mode is m.FULL and set(pinned.excluded) == {m.ABSENT, m.DEMAND}
-    assert materialise.planned(c(materialize=m.TIERED), idle).mode is m.TIERED
-
-
 def test_catalog(spark, t, tmp_path):
     with pytest.raises(Refused, match="NL0210"):
         Relation("x", t.df, retain="30 days")

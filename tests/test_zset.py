@@ -99,3 +99,28 @@ def test_outer_joins(spark, how):
     want |= {(2, 6, None): -1} if how != "right" else {}
     want |= {(3, None, 8): 1} if how != "left" else {}
     assert got(out.select("k", "v", "v2", "_w")) == want
+
+
+def test_windows_over_weighted_rows(spark):
+    rng = random.Random(11)
+    z = Counter({(rng.randint(0, 2), rng.randint(0, 5)): rng.randint(1, 3) for _ in range(14)})
+    plain = [r for r, w in z.items() for _ in range(w)]
+    frame = made(spark, z)
+    for function in ("sum", "count", "min", "max", "rank", "dense_rank", "row_number"):
+        found = zset.window(frame, function, "v", ("k",), (("v", "asc"),), "out")
+        rows = Counter()
+        for r in found.collect():
+            rows[r.k, r.v, int(r.out)] += r._w
+        want = Counter()
+        for k, v in plain:
+            own = sorted(y for x, y in plain if x == k)
+            upto = [y for y in own if y <= v]
+            value = {"sum": sum(upto), "count": len(upto), "min": min(upto), "max": max(upto), "rank": own.index(v) + 1, "dense_rank": len(set(upto))}.get(function)
+            if function != "row_number":
+                want[k, v, value] += 1
+        if function == "row_number":
+            for k in {k for k, _ in plain}:
+                want.update((k, y, i + 1) for i, y in enumerate(sorted(y for x, y in plain if x == k)))
+        assert rows == want, function
+    with pytest.raises(PySparkException, match="NL0526"):
+        zset.window(made(spark, Counter({(1, 1): -1})), "sum", "v", (), (("v", "asc"),)).collect()
