@@ -1,203 +1,239 @@
-"""Near-duplicate groups at a similarity of word shingles, by SimHash and pigeonhole blocks of shingles.
-
-Three differing bits of a 64-bit fingerprint reach a similarity of some 0.97
-only; at 0.8, texts differ in ten bits and more, which blocks of bits can't find
-at scale. So the blocks here are blocks of shingles: the distinct shingles are
-dealt by hash into classes of 3 to 6, and the first ``BLOCKS`` classes, each as
-the sum of its hashes, are the blocks. Two texts of similarity 0.8 agree in a
-class with a chance of 0.29 to 0.54, so all of 64 differ with one of some 1e-9 at
-most. The number of classes is a power of two for the text's number of shingles;
-sizes at similarity s differ by s at most, so a text is dealt at the powers of
-sqrt(s) and 1 / sqrt(s) of its shingles, and two such texts share one.
-
-Texts of at most ``FEW`` shingles are met exactly, by prefixes: in one order of
-all shingles, rarest first, two texts of n and m shingles at similarity s share
-one of their first n - ceil(s n) + 1 and m - ceil(s m) + 1. Texts of up to
-FEW / s shingles have such keys, those of over FEW have blocks, so any two that
-may be similar have one kind in common.
-
-Rows that meet in a block are verified by the Hamming distance of 512-bit
-SimHashes. The distance of similarity 0.8 is 78 of 512 on average with a
-deviation of 8; ``MOST`` allows for six deviations. The links found are then
-held against the exact similarity of the sets of shingles, for the linked texts
-alone, and those below ``similarity`` go. Only links of at most ``SURE`` bits are
-taken as they are: that is a similarity of 0.94, and 0.85 four deviations lower.
-
-Block keys travel without the fingerprints; only members of keys that two or more
-texts share are joined with theirs. Large buckets are split: above ``heavy``
-members they are dealt into chunks, and each pair of chunks is a bucket of its
-own, so that no task holds a whole bucket. A bucket first yields the links of a
-spanning forest, nearer ones first, and each member's links to its two nearest
-partners. These are held against the exact similarity, and what holds is
-contracted; then each member's nearest 16, 128 and at last all partners in other
-components are offered, less the pairs already read, as long as a bucket has more
-of them. So in the end every pair within ``MOST`` bits that meets in a bucket is
-linked, connected by others, or read and found too low. A group of copies that
-hold together costs few links; only pairs that look near and are not are all read.
+"""Near-duplicate groups at a similarity of word shingles, by SimHash: blocks, a join on blocks, verified Hamming distance.
+
+A text is its set of shingles. Fingerprints have 1024 bits: three bits of a 64-bit
+one reach a similarity of some 0.97 only, and the distance at 0.8 is 155 of 1024
+bits on average with a deviation of 11. Two texts link if their distance is at
+most what texts of their two sizes have at the similarity, and ``DEVIATIONS``
+more: the chance that a bit differs is worked out from the sizes. So a pair just at
+the similarity is missed with a chance of 0.006; at 0.75 seven in ten pairs of a
+hundred shingles link, at 0.7 one in seven, at 0.65 hardly any.
+
+Blocks. So many bits differ that no block of bits is whole in all close pairs, so
+the blocks here are blocks of shingles: they are dealt by hash into classes of 3 to
+6, and ``BLOCKS`` classes, each as the sum of its hashes, are the keys; texts with
+fewer classes are dealt again and again. At 0.8 two texts agree in a class with a
+chance of 0.29 to 0.54, so all of 24 differ with one of 0.0003 at most. The number
+of classes is a power of two for the text's size; sizes at similarity s differ by s
+at most, so a text is dealt at the powers of sqrt(s) and 1 / sqrt(s) of its size,
+and two such texts share one.
+
+Texts of at most ``TINY`` shingles meet exactly: a pair at the similarity differs by
+a quarter of what it shares at most, so each text names what is left of it after
+taking away one or two shingles, and equal remainders say how far the texts are
+apart. Those of 9 and 10 shingles have both kinds of keys, so that any two texts
+that may be similar have one kind in common.
+
+Large buckets. A key that more than ``heavy`` texts share is first dealt at random
+into chunks, which join what is alike; then what is still apart is keyed again by
+the key and ``NEXT`` more classes, level by level. Texts that only share a passage
+part at once; texts alike meet with a chance near 1, as they share some nine keys
+and each goes on with four more. After ``LEVELS`` of them the rest, if any, is
+compared chunk by chunk. A bucket gives links of a spanning forest only.
+
+Defined results: null counts as empty; texts without words are one group; a text
+shorter than a shingle is one shingle. One document of each group stays, that of
+the smallest doc_id, null last; of rows that tie any one. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_ROWS, by_text, looked_up, mapped, without, written
-from .simhash import HEAVY, _joined, components, majority, shingle_hashes
-
-WIDTH, BLOCKS, WORDS = 5, 64, 8
-#: Differing bits, of 512: links beyond MOST are dropped unread, links within SURE hold unread.
-MOST, SURE = 128, 40
-#: Links within one of these are taken into the forest before those within the next.
-TIERS = (SURE, 60, 75, 90, MOST)
-#: Partners of a text that the rounds offer; None: all.
-ROUNDS = (2, 16, 128, None)
-#: Pairs of texts of at most so many shingles are read whatever their distance: majorities of so few say little.
-TINY = 25
-#: A distance beyond all, and the bits that mark a key as not yet done.
-FAR, OPEN = 64 * WORDS + 1, -1
-SIMILARITY = 0.8
-#: Texts of at most so many shingles are met by prefixes; the least number of classes beyond is BLOCKS.
-FEW = 200
+from .simhash import HEAVY, _root, components, majority, shingle_hashes
+
+WIDTH, WORDS, BLOCKS = 5, 16, 24
+SIMILARITY, DEVIATIONS = 0.8, 2.5
+#: Texts of at most so many shingles meet by remainders.
+TINY = 10
 #: Distinct shingles in a class, at least; twice as many at most.
 CLASS_SIZE = 2.8
-_SALTS = [(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(WORDS)]
+#: Sizes beyond this have the limits of this one.
+SIZES = 256
+NEXT, LEVELS = 4, 5
+_SALTS = np.array([(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(64)], np.uint64)
 
 
-def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
-    """Another hash of 64-bit hashes."""
-    h = h ^ np.uint64(salt)
+def _mixed(h: np.ndarray, salt) -> np.ndarray:
+    """Other hashes of 64-bit hashes."""
+    h = h ^ np.uint64(salt) if np.isscalar(salt) else h ^ salt
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def sketch(text: str | None, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[int, np.ndarray, np.ndarray, int, np.ndarray]:
-    """A hash of the set of shingles, its 512-bit SimHash as eight words, its block keys, the number of shingles, and those of a short text."""
-    none = np.zeros(0, np.uint64)
+def differing(n: int, m: int, shared: int) -> float:
+    """The chance that a bit of the majorities of n and m random bits differs, of which so many are shared."""
+
+    def pmf(k: int) -> np.ndarray:
+        at = np.arange(k + 1)
+        logs = [math.lgamma(k + 1) - math.lgamma(i + 1) - math.lgamma(k - i + 1) for i in at]
+        return np.exp(np.array(logs) - k * math.log(2))
+
+    def ones(size: int, rest: int) -> np.ndarray:
+        """For each number of shared ones, the chance of a majority of ones."""
+        least = size // 2 + 1 - np.arange(shared + 1)  # ones needed among the rest
+        tail = np.r_[np.cumsum(pmf(rest)[::-1])[::-1], 0.0]
+        return tail[np.clip(least, 0, rest + 1)]
+
+    a, b = ones(n, n - shared), ones(m, m - shared)
+    return float((pmf(shared) * (a * (1 - b) + b * (1 - a))).sum())
+
+
+@functools.cache
+def limits(similarity: float = SIMILARITY) -> np.ndarray:
+    """The bits that may differ between texts of n and n + i shingles, at [n, i]; -1 where the sizes are too far apart."""
+    out = np.full((SIZES + 1, math.floor(SIZES / similarity) - SIZES + 2), -1, np.int16)
+    for n in range(1, SIZES + 1):
+        for m in range(n, math.floor(n / similarity + 1e-9) + 1):
+            p = differing(n, m, math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9))
+            bits = WORDS * 64
+            out[n, m - n] = math.floor(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
+    return out
+
+
+def may_differ(table: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For pairs of sizes, the bits that may differ; -1: no pair of such sizes is similar."""
+    low, high = np.minimum(n, m).astype(np.int64), np.maximum(n, m).astype(np.int64)
+    big = low > SIZES
+    more = np.where(big, np.ceil((high - low) * (SIZES / np.maximum(low, 1)) - 1e-9).astype(np.int64), high - low)
+    out = table[np.minimum(low, SIZES), np.minimum(more, table.shape[1] - 1)]
+    return np.where(more < table.shape[1], out, -1)
+
+
+def overlap(similarity: float = SIMILARITY) -> int:
+    """Texts of more shingles than this meet by classes: any that may be similar to one of more than TINY."""
+    return math.ceil(similarity * (TINY + 1) - 1e-9) - 1
+
+
+def class_keys(h: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """BLOCKS keys for each power of two at which a set of hashes is dealt, zero for a class without shingles."""
+    out, wider = [], 0.999 * math.sqrt(similarity)
+    low, high = (max(0, math.floor(math.log2(len(h) * x / CLASS_SIZE))) for x in (wider, 1 / wider))
+    value = _mixed(h, 0x14057B7EF767814F)
+    for level in range(low, high + 1):
+        turns = max(1, -(-BLOCKS >> level))
+        of = _mixed(h[None, :], _SALTS[:turns, None]) & np.uint64((1 << level) - 1)
+        at = (of + (np.arange(turns, dtype=np.uint64) << np.uint64(level))[:, None]).ravel()
+        used = at < BLOCKS
+        order = np.argsort(at[used], kind="stable")
+        own, add = at[used][order], np.tile(value, turns)[used][order]
+        keys = np.zeros(BLOCKS, np.uint64)
+        if len(own):
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            keys[own[first].astype(np.int64)] = _mixed(np.add.reduceat(add, first) + own[first], 0x2545F4914F6CDD1D + level) | np.uint64(1)
+        out.append(keys)
+    return np.concatenate(out)
+
+
+def remainders(h: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
+    """Hash, size, and number of shingles taken away, of all that a small set shares with sets at the similarity."""
+    n, value = len(h), _mixed(h, 0x6A09E667F3BCC909).tolist()
+    whole, out = sum(value), []
+    for k in range(n):
+        if n > (n - k) / similarity + 1e-9:
+            break
+        out += [((whole - sum(value[i] for i in c)) % (1 << 64), n - k, k) for c in combinations(range(n), k)]
+    return out
+
+
+def sketch(text: str | None, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[int, int, np.ndarray, np.ndarray, int, list]:
+    """Two hashes of the set of shingles, its SimHash as words, its class keys, its size, and its remainders."""
     h = np.unique(shingle_hashes(text, width))
-    if not len(h):
-        return 0, np.zeros(WORDS, np.uint64), np.zeros(1, np.uint64), 0, none
+    n, none = len(h), np.zeros(0, np.uint64)
+    if not n:
+        return 0, 0, np.zeros(WORDS, np.uint64), none, 0, []
     with np.errstate(over="ignore"):
-        wide = majority(np.stack([_mixed(h, s) for s in _SALTS], axis=1))
-        dealt, value = _mixed(h, 0x5851F42D4C957F2D), _mixed(h, 0x14057B7EF767814F)
-        keys, wider = [], 0.999 * math.sqrt(similarity)
-        sizes = (len(h) * wider, len(h) / wider) if len(h) > FEW else ()
-        for level in range(*(math.floor(math.log2(max(1.0, x / CLASS_SIZE))) + i for i, x in enumerate(sizes))) if sizes else ():
-            of = dealt & np.uint64((1 << level) - 1)
-            used = of < BLOCKS
-            order = np.argsort(of[used], kind="stable")
-            own, add = of[used][order], value[used][order]
-            if len(own):
-                at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                keys.append(_mixed(np.add.reduceat(add, at) + own[at], 0x2545F4914F6CDD1D + level))
-        return int(value.sum(dtype=np.uint64)), wide, np.concatenate(keys) if keys else none, len(h), h if len(h) * similarity <= FEW + 1e-6 else none
+        whole, other = (int(_mixed(h, s).sum(dtype=np.uint64)) for s in (0x3C6EF372FE94F82B, 0x510E527FADE682D1))
+        keys = class_keys(h, similarity) if n > overlap(similarity) else none
+        wide = majority(_mixed(h[:, None], _SALTS[None, :WORDS])) if n > overlap(similarity) else np.zeros(WORDS, np.uint64)
+        return whole, other, wide, keys, n, remainders(h, similarity) if n <= TINY else []
+
+
+FINGERPRINT = [f"f{k}" for k in range(WORDS)]
 
 
 def sketches(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, digest (naming the row by doc_id and text), whole, f0 to f7, keys, n_shingles and short (the shingles of a short text) of every document."""
+    """doc_id, digest (naming the row by doc_id and text), whole and other (hashes of the set), f0 to f15, keys, n_shingles, and left (remainders) of every document."""
     rows = by_text(docs).select("doc_id", "digest", "text")
+    names = ["doc_id", "digest", "whole", "other", *FINGERPRINT, "keys", "n_shingles", "left"]
+
+    def signed(values: list[int]) -> pa.Array:
+        return pa.array(np.array(values, np.uint64).view(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 found = [sketch(x.as_py(), width, similarity) for x in part.column(2)]
-                whole = pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64))
-                wide = np.array([x[1] for x in found], np.uint64).view(np.int64)
-                keys, short = (pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(x[i]) for x in found]]), pa.int32()), pa.array(np.concatenate([x[i] for x in found]).view(np.int64))) for i in (2, 4))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), whole, *[pa.array(wide[:, k]) for k in range(WORDS)], keys, pa.array([x[3] for x in found], pa.int32()), short], names=names)
-
-    names = ["doc_id", "digest", "whole", *[f"f{k}" for k in range(WORDS)], "keys", "n_shingles", "short"]
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, whole long, " + ", ".join(f"f{k} long" for k in range(WORDS)) + ", keys array<long>, n_shingles int, short array<long>"
+                wide = np.array([x[2] for x in found], np.uint64).view(np.int64)
+                ends = pa.array(np.cumsum([0, *[len(x[3]) for x in found]]), pa.int32())
+                keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[3] for x in found]).view(np.int64)))
+                flat = [r for x in found for r in x[5]]
+                left = pa.StructArray.from_arrays([signed([r[0] for r in flat]), *[pa.array([r[i] for r in flat], pa.int32()) for i in (1, 2)]], names=["key", "size", "away"])
+                left = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(x[5]) for x in found]]), pa.int32()), left)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), signed([x[0] for x in found]), signed([x[1] for x in found]), *[pa.array(wide[:, k]) for k in range(WORDS)], keys, pa.array([x[4] for x in found], pa.int32()), left], names=names)
+
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, whole long, other long, " + ", ".join(f"{f} long" for f in FINGERPRINT) + ", keys array<long>, n_shingles int, left array<struct<key:long,size:int,away:int>>"
     return mapped(rows, run, schema)
 
 
-def _nearest(bucket: np.ndarray, fp: np.ndarray, few: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of each row and its k nearest others in its bucket that may be similar, and how many such others it has."""
+def joined(bucket: np.ndarray, root: np.ndarray, size: np.ndarray, fp: np.ndarray, table: np.ndarray) -> tuple[list[int], list[int]]:
+    """Row pairs that link what is apart in a bucket into a spanning forest. Equal buckets stand together; rows of one root are joined already."""
     n = len(fp)
-    far_off, mate, others_of = np.full((n, k), FAR), np.full((n, k), -1), np.zeros(n, np.int64)
+    first, place = np.unique(np.stack([bucket, root]), axis=1, return_index=True, return_inverse=True)[1:]
+    up = first[place.ravel()].astype(np.int64)
+    left: list[int] = []
+    right: list[int] = []
     live = np.arange(n)
     for step in range(1, n):
         live = live[live + step < n]
         live = live[bucket[live] == bucket[live + step]]
         if not len(live):
             break
-        d = np.bitwise_count(fp[live] ^ fp[live + step]).sum(axis=1).astype(np.int64)
-        d[(d > MOST) & ~(few[live] & few[live + step])] = FAR
-        for rows, others in ((live, live + step), (live + step, live)):
-            others_of[rows] += d < FAR
-            better = d < far_off[rows, -1]
-            r = rows[better]
-            far_off[r, -1], mate[r, -1] = d[better], others[better]
-            order = np.argsort(far_off[r], axis=1, kind="stable")
-            far_off[r], mate[r] = np.take_along_axis(far_off[r], order, 1), np.take_along_axis(mate[r], order, 1)
-    rows, place = np.nonzero(mate >= 0)
-    return rows, mate[rows, place], others_of
-
-
-def _apart(fp: np.ndarray, few: np.ndarray, root: np.ndarray, k: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Of one bucket, pairs of each row and its k nearest others (None: all) of other roots, and whether there are more."""
-    for at in range(0, len(fp), 128):
-        part = slice(at, at + 128)
-        d = np.bitwise_count(fp[part, None, :] ^ fp[None, :, :]).sum(axis=2).astype(np.int64)
-        d[(d > MOST) & ~(few[part, None] & few[None, :]) | (root[part, None] == root[None, :])] = FAR
-        more = k is not None and bool(((d < FAR).sum(axis=1) > k).any())
-        if more:
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows, place = np.nonzero(np.take_along_axis(d, best, 1) < FAR)
-            yield rows + at, best[rows, place], True
-        else:
-            rows, others = np.nonzero(d < FAR)
-            yield rows + at, others, False
-
-
-def _linker(k: int | None, first: bool):
-    """Streams rows sorted by key and gives links of each key's members, with their distances.
-
-    A key whose members have more partners than are given is named in a row of its own, with OPEN bits.
-    """
-    width = 4 + WORDS
-
-    def pairs(ids: np.ndarray, fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        bits = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b])), pa.array(bits)], names=["a", "b", "bits"])
+        ask = live[up[live] != up[live + step]]
+        most = may_differ(table, size[ask], size[ask + step])
+        ask, most = ask[most >= 0], most[most >= 0]
+        if not len(ask):
+            continue
+        near = ask[np.bitwise_count(fp[ask] ^ fp[ask + step]).sum(axis=1) <= most]
+        for a in near.tolist():
+            ra, rb = _root(up, a), _root(up, a + step)
+            if ra != rb:
+                up[max(ra, rb)] = min(ra, rb)
+                left.append(a)
+                right.append(a + step)
+        if len(near):
+            while not np.array_equal(up, higher := up[up]):
+                up = higher
+    return left, right
+
+
+def _linker(similarity: float):
+    """Streams rows (key, id, root, n_shingles, fingerprint) sorted by key and gives the links of each key's forest."""
+    table = limits(similarity)
 
     def done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
-        size = np.diff(np.r_[edge, rows.shape[1]])
-        still: set[int] = set()
-        if first:
-            chosen = np.repeat(size, size) > 1
-            if chosen.any():
-                keys, bucket, ids = rows[0][chosen], np.repeat(np.arange(len(size)), size)[chosen], rows[1][chosen]
-                few, fp = rows[2, chosen] > 0, np.ascontiguousarray(rows[4:, chosen].T).view(np.uint64)
-                forest, (near_a, near_b, others) = _joined(bucket, fp, TIERS), _nearest(bucket, fp, few, k)
-                a, b = np.r_[np.array(forest[0], np.int64), near_a], np.r_[np.array(forest[1], np.int64), near_b]
-                if len(a):
-                    yield pairs(ids, fp, a, b)
-                still = set(keys[others > k].tolist())
-        else:
-            for start, n in zip(edge.tolist(), size.tolist()):
-                own = rows[:, start : start + n]
-                fp = np.ascontiguousarray(own[4:].T).view(np.uint64)
-                for a, b, more in _apart(fp, own[2] > 0, own[3], k):
-                    if len(a):
-                        yield pairs(own[1], fp, a, b)
-                    if more:
-                        still.add(int(own[0, 0]))
-        if still:
-            names = pa.array(sorted(still), pa.int64())
-            yield pa.RecordBatch.from_arrays([names, names, pa.array([OPEN] * len(names), pa.int32())], names=["a", "b", "bits"])
+        bucket = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, rows.shape[1]]))
+        fp = np.ascontiguousarray(rows[4:].T).view(np.uint64)
+        a, b = joined(bucket, rows[2], rows[3], fp, table)
+        if a:
+            x, y = rows[1][a], rows[1][b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((width, 0), np.int64)
+        rest = np.zeros((4 + WORDS, 0), np.int64)
         for batch in batches:
-            rest = np.concatenate([rest, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])], axis=1)
+            rest = np.concatenate([rest, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4 + WORDS)])], axis=1)
             if rest.shape[1] and (cut := int(np.argmax(rest[0] == rest[0, -1]))):
                 yield from done(rest[:, :cut])
                 rest = rest[:, cut:]
@@ -207,111 +243,91 @@ def _linker(k: int | None, first: bool):
     return run
 
 
-def prefixes(nodes: DataFrame, similarity: float = SIMILARITY, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """id and prefix of the short texts among ``nodes`` (id, n_shingles, short): the rarest shingles, of which two texts of the similarity share one.
+def _forest(members: DataFrame, wide: DataFrame, similarity: float) -> DataFrame:
+    """Links of the members (key, id, root) of buckets that fit a task."""
+    rows = members.join(wide.select("id", F.col("n_shingles").cast("long").alias("n"), *FINGERPRINT), "id")
+    rows = rows.select("key", "id", "root", "n", *FINGERPRINT).repartition("key").sortWithinPartitions("key", "f0", "id")
+    return mapped(rows, _linker(similarity), "a long, b long")
 
-    A shingle that no second text has can't be shared, so it is counted only.
-    """
-    each = nodes.select("id", F.explode("short").alias("shingle"))
-    shared = written(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    common = looked_up(each, shared, "shingle", "n", bound).filter("n is not null")
-    common = common.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("common"))  # FEW / similarity at most
-    length = F.col("n_shingles") - F.ceil(F.col("n_shingles") * similarity - 1e-6) + 1
-    common = common.join(nodes.select("id", "n_shingles"), "id").withColumn("length", (length - F.col("n_shingles") + F.size("common")).cast("int"))
-    return common.filter("length > 0").select("id", F.expr("transform(slice(common, 1, greatest(length, 0)), x -> xxhash64(x.shingle))").alias("prefix"))
-
-
-def buckets(nodes: DataFrame, similarity: float = SIMILARITY, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """key and id of the ``nodes`` (id, whole, keys, n_shingles, short) that meet others; a bucket over ``heavy`` is dealt into pairs of chunks."""
-    keyed = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "id", "whole")
-    short = prefixes(nodes, similarity, bound).join(nodes.select("id", "whole"), "id")
-    keyed = written(keyed.unionByName(short.select(F.explode("prefix").alias("key"), "id", "whole")))
-    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = looked_up(keyed, shared, "key", "n", bound).filter("n is not null").withColumn("chunks", F.ceil(F.col("n") / heavy).cast("int"))
-    members = written(members.select("key", "id", "whole", "chunks"))
-    chunk = F.pmod(F.xxhash64("whole"), "chunks").cast("int")
-    pairs = members.filter("chunks > 1").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    pairs = pairs.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"), "id")
-    return written(members.filter("chunks = 1").select("key", "id").unionByName(pairs))
-
-
-def links(nodes: DataFrame, wide: DataFrame, docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Links (a < b) between the ids of ``nodes``, whose keys are in ``wide``, that hold, enough to connect all that the similarity connects.
-
-    What holds is contracted after every round, and the next one offers more
-    partners between what is still apart in a bucket, at last all of them.
-    """
-    words = [f"f{k}" for k in range(WORDS)]
-    rows = buckets(wide, similarity, heavy, bound)
-    tried = held = None
-    for round_, k in enumerate(ROUNDS):
-        own = rows.join(nodes.select("id", (F.col("n_shingles") <= TINY).cast("long").alias("few"), *words), "id")
-        own = own.withColumn("root", F.lit(0).cast("long")) if held is None else own
-        own = own.select("key", "id", "few", "root", *words).repartition("key").sortWithinPartitions("key", *words)  # an order that does not depend on row numbers
-        found = written(mapped(own, _linker(k, round_ == 0), "a long, b long, bits int").distinct())
-        new = found.filter(F.col("bits") != OPEN)
-        new = new if tried is None else written(new.join(tried, ["a", "b"], "left_anti"))
-        still = found.filter(F.col("bits") == OPEN).select(F.col("a").alias("key"))
-        good = similar(new, nodes, docs, width, similarity, bound)
-        tried = new.select("a", "b") if tried is None else tried.unionByName(new.select("a", "b"))
-        held = good if held is None else held.unionByName(good)
-        if still.isEmpty():
-            break
-        stars = components(held, bound)
-        label = written(stars.select(F.col("vertex").alias("id"), "root"))
-        rows = rows.select("key", "id").join(F.broadcast(still) if still.count() <= bound else still, "key", "left_semi")
-        rows = written(rows.join(label, "id", "left").withColumn("root", F.coalesce("root", "id")))
-        apart = written(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key"))
-        if apart.isEmpty():
-            break
-        rows = written(rows.join(F.broadcast(apart) if apart.count() <= bound else apart, "key", "left_semi"))
-    return written(held)
 
+def _small(table: DataFrame, bound: int) -> DataFrame:
+    """A written table of narrow rows, broadcast if it has few."""
+    return F.broadcast(table) if table.count() <= bound else table
 
-def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """The links whose texts' sets of shingles have the similarity: shared ones over all.
 
-    nodes names the digest of each id. Only linked texts are read again.
-    """
-    sure, edges = edges.filter(F.col("bits") <= SURE).select("a", "b"), edges.filter(F.col("bits") > SURE).select("a", "b")
-    ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    named = written(nodes.select("id", "digest").join(ids, "id"))
-    wanted = named.select("digest")
-    texts = by_text(docs).select("digest", "text").join(F.broadcast(wanted) if named.count() <= bound else wanted, "digest", "left_semi")
+def _chunk(of: Column) -> Column:
+    return F.pmod(F.xxhash64("id"), of).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                sets = [np.unique(shingle_hashes(x.as_py(), width)) for x in part.column(1)]
-                ends = np.cumsum([0, *map(len, sets)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], names=["digest", "shingles"])
 
-    sets = mapped(texts, run, "digest binary, shingles array<long>").dropDuplicates(["digest"])
-    sets = written(named.join(sets, "digest").select("id", "shingles"))
-    x, y = F.col("x"), F.col("y")
-    pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect(x, y))
-    alike = pairs.filter(shared >= similarity * (F.size(x) + F.size(y) - shared)).select("a", "b")
-    return written(alike.unionByName(sure))
+def links(wide: DataFrame, similarity: float = SIMILARITY, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Links (a < b) between the ids of ``wide`` (id, n_shingles, fingerprint, keys) that join all that is alike."""
+    key = wide.select("id", F.posexplode("keys").alias("at", "key")).filter("key <> 0")
+    keyed, found, label = written(key.select("key", "id", "at")), None, None
+    for level in range(LEVELS + 1):
+        shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        members = written(looked_up(keyed, shared, "key", "n", bound).filter("n is not null"))
+        if label is not None:
+            members = members.join(label, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        else:
+            members = members.withColumn("root", F.col("id"))
+        light = members.filter(F.col("n") <= heavy).select("key", "id", "root")
+        large = members.filter(F.col("n") > heavy)
+        chunked = large.select(F.xxhash64("key", _chunk(F.ceil(F.col("n") / heavy))).alias("key"), "id", "root")
+        new = written(_forest(light.unionByName(chunked), wide, similarity).distinct())
+        found = new if found is None else found.unionByName(new)
+        if large.isEmpty():
+            return written(found.distinct())
+        label = written(components(found, bound).select(F.col("vertex").alias("id"), "root"))
+        large = large.drop("root").join(label, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        large = written(large)
+        apart = written(large.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key"))
+        if apart.isEmpty():
+            return written(found.distinct())
+        large = written(large.join(_small(apart, bound), "key", "left_semi").select("key", "id", "at", "root", "n"))
+        if level < LEVELS:
+            start = F.col("at") - F.pmod(F.col("at"), F.lit(BLOCKS))
+            turn = F.explode(F.sequence(F.lit(1 + NEXT * level), F.lit(NEXT * (level + 1)))).alias("turn")
+            more = large.join(wide.select("id", "keys"), "id").select("key", "id", "at", "keys", turn, start.alias("start"))
+            other = F.element_at("keys", (F.col("start") + F.pmod(F.col("at") + F.col("turn"), F.lit(BLOCKS)) + 1).cast("int"))
+            keyed = written(more.withColumn("other", other).filter("other <> 0").select(F.xxhash64("key", "turn", "other").alias("key"), "id", "at"))
+    # What is left after all levels: every chunk beside every other.
+    chunks = F.ceil(F.col("n") / heavy).cast("int")
+    pairs = large.withColumn("chunk", _chunk(chunks)).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    pairs = pairs.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"), "id", "root")
+    return written(found.unionByName(_forest(pairs, wide, similarity)).distinct())
+
+
+def tiny_links(left: DataFrame, similarity: float = SIMILARITY, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Links between the ids of small sets by their remainders (id, key, size, away).
+
+    Sets that leave the same remainder are similar if what was taken away, together, is little enough. So whoever is
+    similar to another one is similar to the one that lost the least, and a link to that one joins all.
+    """
+    named = left.withColumn("name", F.xxhash64("key", "size"))
+    hubs = named.groupBy("name").agg(F.min(F.struct("away", "id")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hubs = written(hubs.select("name", F.col("hub.id").alias("hub"), F.col("hub.away").alias("lost"), "n"))
+    rows = looked_up(named, hubs, "name", "n", bound).filter("n is not null and hub <> id")
+    rows = rows.filter(F.col("size") >= similarity * (F.col("size") + F.col("away") + F.col("lost")) - 1e-9)
+    return written(rows.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, heavy: int = HEAVY, bound: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, digest, row and kept of every document: one row of each group stays, that of the smallest doc_id.
 
-    A group is what links of the similarity or more connect. Equal texts are one
-    vertex. Null doc_ids come last; among rows of one doc_id any one stays.
+    A group is what links connect. Texts of equal sets of shingles are one vertex. Null doc_ids come last; among rows of
+    one doc_id any one stays.
     """
     rows = written(sketches(docs, width, similarity).withColumn("row", F.monotonically_increasing_id()))
-    same = ["whole", *[f"f{k}" for k in range(WORDS)]]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
-    nodes = written(rows.groupBy(*same).agg(F.min("row").alias("id"), F.min_by("digest", "row").alias("digest"), F.first("n_shingles").alias("n_shingles"), first, F.count(F.lit(1)).alias("n")))
+    nodes = written(rows.groupBy("whole", "other", "n_shingles").agg(F.min("row").alias("id"), first))
     twins = written(rows.select(F.col("row").alias("id")).join(nodes.select("id"), "id", "left_anti"))
-    wide = rows.select(F.col("row").alias("id"), "whole", "n_shingles", "keys", "short").join(F.broadcast(twins) if twins.count() <= bound else twins, "id", "left_anti")
-    edges = links(nodes, wide, docs, width, similarity, heavy, bound)
+    own = rows.withColumn("id", F.col("row")).join(_small(twins, bound), "id", "left_anti")
+    wide = own.filter(F.col("n_shingles") > overlap(similarity)).select("id", "n_shingles", "keys", *FINGERPRINT)
+    left = own.filter(F.col("n_shingles") <= TINY).select("id", F.explode("left").alias("r")).select("id", "r.key", "r.size", "r.away")
+    edges = links(wide, similarity, heavy, bound).unionByName(tiny_links(left, similarity, bound))
     stars = components(edges, bound)
     whole = written(stars.select(F.col("vertex").alias("id"), "root").unionByName(stars.select(F.col("root").alias("id"), "root").distinct()))
-    lows = written(nodes.select("id", "first", "n").join(whole, "id").groupBy("root").agg(F.min("first").alias("stays")))
+    lows = written(nodes.select("id", "first").join(whole, "id").groupBy("root").agg(F.min("first").alias("stays")))
     low_row = lows.select(F.col("stays.row").alias("row"))
     lost = nodes.select("id", F.col("first.row").alias("row")).join(whole.select("id"), "id").join(low_row, "row", "left_anti")
     kept = written(nodes.select(F.col("first.row").alias("row")).join(lost.select("row"), "row", "left_anti").withColumn("kept", F.lit(True)))

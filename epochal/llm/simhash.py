@@ -64,10 +64,10 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 def majority(hashes: np.ndarray) -> np.ndarray:
     """The words of the bits that are set in over half the rows of an (n, k) array of 64-bit words."""
-    ones, (n, k) = np.zeros(hashes.shape[1] * 64, np.int64), hashes.shape
-    for at in range(0, n, 65536 // k):  # bounded memory for texts of any length
-        part = np.ascontiguousarray(hashes[at : at + 65536 // k]).astype("<u8", copy=False)
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    ones, n = np.zeros(hashes.shape[1] * 64, np.int64), len(hashes)
+    for at in range(0, n, 255):  # as many as a byte can count
+        part = np.ascontiguousarray(hashes[at : at + 255]).astype("<u8", copy=False)
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
     return np.packbits(ones * 2 > n, bitorder="little").view("<u8")
 
 
