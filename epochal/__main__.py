@@ -16,7 +16,7 @@ from .plans.refusal import Refused
 from .session import Engine
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="epochal", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("command", choices=("check", "parse", "path", "explain", "run", "time"))
     parser.add_argument("statement")
@@ -24,7 +24,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--strict", action="store_true")
     parser.add_argument("--anchor", type=int)
     args = parser.parse_args(argv)
-    spark = SparkSession.builder.appName("epochal").getOrCreate()
+    spark = spark or SparkSession.builder.appName("epochal").getOrCreate()
     engine = Engine(spark, strict=args.strict)
     for table in args.table:
         name, _, path = table.partition("=")

@@ -70,9 +70,12 @@ def confidential(df: DataFrame, column: str, level: str, subject: str) -> DataFr
     return df.withMetadata(column, {"confidential": level, "subject": subject})
 
 
-def changes(spark: SparkSession, path: str, schema: str, stream: bool = False) -> DataFrame:
-    """Change records as weighted rows: JSON lines with epoch, op (+ or -) and the columns of schema."""
-    reader = spark.readStream if stream else spark.read
+def changes(spark: SparkSession, path: str, schema: str, stream: bool = False, files: int | None = None) -> DataFrame:
+    """Change records as weighted rows: JSON lines with epoch, op (+ or -) and the columns of schema.
+
+    A maintained view takes them as they are, from a batch or a stream of so many files at a time.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", files or 1000) if stream else spark.read
     rows = reader.schema(f"epoch long, op string, {schema}").json(path)
     weight = F.when(F.col("op") == "+", 1).when(F.col("op") == "-", -1).otherwise(F.raise_error(F.lit("a change is + or -")).cast("int"))
     return rows.withColumn("_w", weight.cast("long")).drop("op")

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import total
+from ..functions.values import WIDE
+from ..operators.zset import W
 from ..plans.contracts import Contract, Rung
 from ..plans.refusal import Refused
 from ..sources import storage
@@ -43,7 +45,10 @@ class View:
     # --- state ---
 
     def fold(self, rows: DataFrame) -> DataFrame:
-        """Base rows, summed by key."""
+        """Base rows, summed by key; weighted rows, such as changes, count as often as their weight says."""
+        if W in rows.columns:
+            sums = [F.sum(F.col(c).cast(WIDE) * F.col(W).cast("decimal(19,0)")).cast(WIDE).alias(n) for n, c in self.sums.items()]
+            return rows.groupBy(*self.keys).agg(*sums, F.sum(W).alias("updates"))
         totals = [total(rows, c).alias(n) for n, c in self.sums.items()]
         return rows.groupBy(*self.keys).agg(*totals, F.count(F.lit(1)).alias("updates"))
 
