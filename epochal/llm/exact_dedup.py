@@ -1,12 +1,19 @@
 """Exact dedup by a log-structured merge index of text digests [DataFrame functions only].
 
 Every scan task is a memtable: it holds the digests of its rows, sorts them and
-flushes one run, a Parquet file in digest order with a Bloom filter on the
-digest. Compaction merges the runs into one entry for each digest, which names
-the row that stays. A digest that several rows share is a hit, and hits are
-verified byte by byte: the smallest and the largest normalised text under the
-digest must be the same string. Where they differ, the digest collided and its
-rows are grouped by the text itself.
+flushes one run, a Parquet file in digest order with a Bloom filter in its footer.
+Compaction merges the level so far and the runs behind it into a new level in
+digest order, one entry for each digest: the row that stays, by the smallest rank,
+and the number of rows; equal digests of a task are combined before they travel.
+
+A digest that several rows share is a hit. A filter over the digests of a table,
+three probes into 8 MB of bits at most, whatever the input, is built by grouped
+sums and read by every task as a constant: rows that it turns away are certainly
+no hits and go no further. So a batch that is looked up, rows that are resolved
+and texts that are verified meet the index by a join only if they pass the filter,
+and the join leaves the hits alone. Hits are verified byte by byte: the smallest
+and the largest normalised text under the digest must be the same string. Where
+they differ, the digest collided and its rows are grouped by the text itself.
 
 Defined results: a null text counts as empty; texts are equal when identical
 after the six ASCII white-space characters are deleted, so all blank texts form
@@ -14,10 +21,15 @@ one group. Of equal texts the one with the most code points stays, then the one
 with the smallest doc_id (null last); of rows that tie in both, exactly one
 stays. An empty table gives no rows. Columns that are not needed are not read,
 and their names may clash with anything.
+
+Index files lie below the folder of storage.owned, or of the application, and go
+with it; clear() deletes them earlier.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,17 +52,47 @@ def _rank() -> Column:
     return F.struct((-F.col("n_code")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"))
 
 
+#: Longs in a filter, at most: 8 MB. Bits for each entry below that.
+MAX_WORDS, BITS = 1 << 20, 10
+
+
+class Filter:
+    """Which digests may be in a table: no false negatives, and few false positives up to some ten million entries."""
+
+    def __init__(self, digests: DataFrame, n: int, path: str):
+        self.words = min(MAX_WORDS, 1 << max(6, (n * BITS // 64).bit_length()))
+        bits = digests.select(F.explode(F.array(*self._places(F.col("digest")))).alias("bit"))
+        one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
+        held = bits.select(F.shiftright("bit", 6).alias("word"), one.alias("value"))
+        every = digests.sparkSession.range(self.words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("value"))
+        held = held.unionByName(every).groupBy("word").agg(F.bit_or("value").alias("value"))
+        whole = F.transform(F.sort_array(F.collect_list(F.struct("word", "value"))), lambda x: x["value"])  # MAX_WORDS
+        self.table = written(held.agg(whole.alias("words")), path)
+
+    def _places(self, digest: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(i), digest), F.lit(self.words * 64)) for i in range(3)]
+
+    def may(self, digest: Column) -> Column:
+        """False: the digest is not in the table."""
+        words = self.table.select("words").scalar()
+        out = F.lit(True)
+        for place in self._places(digest):
+            bit = place.bitwiseAND(F.lit(63)).cast("int")
+            out = out & (F.getbit(F.get(words, F.shiftright(place, 6).cast("int")), bit) == 1)
+        return out
+
+
 class DigestIndex:
     """The index of the texts flushed so far.
 
     digest_bytes: bytes of the SHA-256 that serve as the key. Fewer than 32 make
     collisions likely, which byte verification then has to resolve.
-    bound: hits up to this number are broadcast as a filter; more are joined.
+    bound: hits up to this number are broadcast; more are joined by a shuffle.
     """
 
     def __init__(self, spark: SparkSession, digest_bytes: int = 32, bound: int = BROADCAST_ROWS):
         self.spark, self.digest_bytes, self.bound = spark, digest_bytes, bound
-        self.root, self.runs, self.level = shared_dir(spark), [], None
+        self.root, self.runs, self.level, self.merged = shared_dir(spark), [], None, 0
         self._texts: list[DataFrame] = []
 
     def _digested(self, docs: DataFrame) -> DataFrame:
@@ -64,49 +106,80 @@ class DigestIndex:
         rows = self._digested(docs).select("digest", "sha", "doc_id", "n_code", F.monotonically_increasing_id().alias("row"), F.lit(len(self.runs)).alias("run"))
         self.runs.append(written(rows.sortWithinPartitions("digest"), path, **RUN_OPTIONS))
         self._texts.append(docs)
-        self.level = None
 
-    def entries(self) -> DataFrame:
-        """Every flushed row: digest, sha, doc_id, n_code and a row number of its own."""
-        out = self.runs[0]
-        for run in self.runs[1:]:
-            out = out.unionByName(run)
-        return out.withColumn("row", F.struct("run", "row")).drop("run")
+    def entries(self, runs: slice = slice(None)) -> DataFrame:
+        """Flushed rows: digest, sha, doc_id, n_code and a row number of their own."""
+        first, *rest = self.runs[runs]
+        for run in rest:
+            first = first.unionByName(run)
+        return first.withColumn("row", F.struct("run", "row")).drop("run")
 
     def compact(self) -> DataFrame:
-        """One entry for each digest of two or more rows: the row that stays and the number of rows.
+        """The level with the runs since merged into it: digest, keep (the rank of the row that stays) and group_size.
 
         Map-side combining leaves one record of a digest for each task, so a
         group that holds a third of all rows is no larger than any other.
         """
-        merged = self.entries().groupBy("digest").agg(F.min(_rank()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-        merged = merged.filter("group_size > 1").select("digest", "keep.keep_id", "keep.keep_row", (-F.col("keep.shorter")).alias("keep_n"), "group_size")
-        self.level = written(merged.sortWithinPartitions("digest"), f"{self.root}/level-{len(self.runs)}", **RUN_OPTIONS)
+        if self.merged < len(self.runs) or self.level is None:
+            parts = self.entries(slice(self.merged, None)).select("digest", _rank().alias("keep"), F.lit(1).cast("long").alias("group_size"))
+            if self.level is not None:
+                parts = parts.unionByName(self.level)
+            merged = parts.groupBy("digest").agg(F.min("keep").alias("keep"), F.sum("group_size").alias("group_size"))
+            self.merged = len(self.runs)
+            self.level = written(merged.sortWithinPartitions("digest"), f"{self.root}/level-{self.merged}", **RUN_OPTIONS)
+            self._hits = None
         return self.level
 
-    def collided(self) -> DataFrame:
-        """The digests under which the bytes differ, found by comparing the texts of all hits."""
-        hits = self.level.select("digest")
-        texts = self._texts_of(hits, len(self.runs) > 0 and hits.count() <= self.bound)
-        differ = texts.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).filter("low <> high")
-        return written(differ.select("digest"), f"{self.root}/collided-{len(self.runs)}")
+    def filter(self, name: str, digests: DataFrame, n: int) -> Filter:
+        """A filter over some of the level's digests."""
+        return Filter(digests.select("digest"), n, f"{self.root}/filter-{name}-{uuid.uuid4().hex}")
+
+    def hits(self) -> tuple[DataFrame, int, Filter]:
+        """The level's digests of two or more rows, with the row that stays and the number of rows; how many; their filter."""
+        self.compact()
+        if self._hits is None:
+            rows = self.level.filter("group_size > 1").select("digest", "keep.keep_id", "keep.keep_row", "group_size")
+            found = written(rows, f"{self.root}/hits-{self.merged}")
+            n = found.count()
+            self._hits = found, n, self.filter("hits", found, n)
+        return self._hits
+
+    def met(self, rows: DataFrame, table: DataFrame, n: int, may: Filter) -> DataFrame:
+        """rows left-joined with a table of n digests. A small table is broadcast; of a larger one, the filter's rows alone meet it."""
+        if n <= self.bound:
+            return looked_up(rows, table, "digest", "group_size", self.bound)
+        rows = rows.withColumn("may", may.may(F.col("digest")))
+        hit = looked_up(rows.filter("may").drop("may"), table, "digest", "group_size", self.bound)
+        return hit.unionByName(rows.filter("not may").drop("may"), allowMissingColumns=True)
+
+    def known(self, docs: DataFrame) -> DataFrame:
+        """doc_id, digest and keep_id of the rows of a batch whose digest the level has; the filter spares all others the join."""
+        level = self.compact()
+        rows = self._digested(docs).select("doc_id", "digest").filter(self.filter("level", level, level.count()).may(F.col("digest")))
+        return looked_up(rows, written(level.select("digest", "keep.keep_id", "group_size")), "digest", "group_size", self.bound).filter("group_size is not null")
 
-    def _texts_of(self, digests: DataFrame, few: bool) -> DataFrame:
+    def collided(self) -> DataFrame:
+        """The digests under which the bytes differ, found by comparing the texts of all hits, and of hits only."""
+        found, n, may = self.hits()
+        differ = self._texts_of(found.select("digest"), n, may).groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).filter("low <> high")
+        return written(differ.select("digest"), f"{self.root}/collided-{self.merged}-{uuid.uuid4().hex}")
+
+    def _texts_of(self, digests: DataFrame, n: int, may: Filter) -> DataFrame:
+        """digest and norm of the rows of n digests."""
+        wanted = F.broadcast(digests) if n <= self.bound else digests
         out = None
         for docs in self._texts:
-            rows = self._digested(docs).select("digest", "norm", "doc_id", "n_code")
-            rows = rows.join(F.broadcast(digests), "digest", "left_semi") if few else rows
+            rows = self._digested(docs).select("digest", "norm").filter(may.may(F.col("digest"))).join(wanted, "digest", "left_semi")
             out = rows if out is None else out.unionByName(rows)
         return out
 
     def resolve(self) -> DataFrame:
         """For every flushed row: doc_id, n_code, keep_id, group_size, kept, sha, and the row's number."""
-        if self.level is None:
-            self.compact()
         bad = self.collided()
-        rows = looked_up(self.entries(), self.level, "digest", "group_size", self.bound)
+        rows = self.met(self.entries(), *self.hits())
         kept = F.col("keep_row").isNull() | (F.col("keep_row") == F.col("row"))
-        rows = rows.select("digest", "doc_id", "n_code", F.when(F.col("keep_row").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "sha", "row")
+        keep_id = F.when(F.col("keep_row").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+        rows = rows.select("digest", "doc_id", "n_code", "sha", "row", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"))
         if bad.isEmpty():
             return rows
         few = bad.count() <= self.bound
@@ -122,7 +195,7 @@ class DigestIndex:
         rows = written(rows)
         classes = rows.groupBy("digest", "norm").agg(F.min(_rank()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         out = rows.join(classes, ["digest", "norm"])
-        return out.select("digest", "doc_id", "n_code", "keep.keep_id", "group_size", (F.col("row") == F.col("keep.keep_row")).alias("kept"), "sha", "row")
+        return out.select("digest", "doc_id", "n_code", "sha", "row", "keep.keep_id", "group_size", (F.col("row") == F.col("keep.keep_row")).alias("kept"))
 
     def clear(self) -> None:
         """Delete the index files; frames that resolve() returned can't be read afterwards."""
@@ -133,7 +206,6 @@ def exact_groups(docs: DataFrame, digest_bytes: int = 32, bound: int = BROADCAST
     """One row for each document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
     index = DigestIndex(docs.sparkSession, digest_bytes, bound)
     index.flush(docs)
-    index.compact()
     out = index.resolve()
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
@@ -148,15 +220,17 @@ def exact_dedup(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     names = docs.columns
     index = DigestIndex(docs.sparkSession, 32, bound)
     index.flush(docs)
-    index.compact()
     verdict = index.resolve().filter("kept and group_size > 1").select("digest", F.col("doc_id").alias("stay_id"), F.col("n_code").alias("stay_n"), "group_size", F.lit(True).alias("grouped"))
     verdict = written(verdict, f"{index.root}/verdict")
+    n = verdict.count()
+    may = index.filter("verdict", verdict, n)
     plain = positional(docs)
     text, doc_id = F.col(f"c{names.index('text')}"), F.col(f"c{names.index('doc_id')}")
     rows = plain.withColumn("digest", F.unhex(F.sha2(normalised(text), 256))).withColumn("n_code", F.length(F.coalesce(text, F.lit(""))).cast("long"))
-    rows = looked_up(rows, verdict, "digest", "group_size", bound)
+    rows = index.met(rows, verdict, n, may)
     stays = doc_id.eqNullSafe(F.col("stay_id")) & (F.col("n_code") == F.col("stay_n"))
-    tied = index.entries().join(F.broadcast(verdict) if verdict.count() <= bound else verdict, "digest").filter(F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("n_code") == F.col("stay_n"))).groupBy("digest").count().filter("count > 1")
+    listed = index.entries().filter(may.may(F.col("digest"))).join(F.broadcast(verdict) if n <= bound else verdict, "digest")
+    tied = listed.filter(F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("n_code") == F.col("stay_n"))).groupBy("digest").count().filter("count > 1")
     tied = written(tied.select("digest"), f"{index.root}/tied")
     out = rows.filter(F.col("grouped").isNull() | stays)
     if not tied.isEmpty():  # rows alike in doc_id, length and normalised text: one of each group stays

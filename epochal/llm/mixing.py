@@ -3,7 +3,9 @@
 A source's share of all tokens, raised to an exponent and normalised, is its
 weight: exponent 1 keeps the shares, 0 makes all sources equal. The exponent is
 bisected, many points a round, until the entropy of the weights meets a target,
-or until no source is repeated more often than a limit. The budget is the given
+or until no source is repeated more often than a limit. A target that no exponent
+meets is refused: an entropy below that of the largest sources alone, a budget of
+more tokens than the limit of repeats allows. The budget is the given
 number of tokens or, without one, the least at which every source is read in
 full, so that no document is left out.
 
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .shared import BROADCAST_ROWS, looked_up, pick, positional, written
 
 POINTS, ROUNDS = 33, 6
+#: The largest exponent that is tried for an entropy.
+LARGEST = 256
 
 
 @dataclass(frozen=True)
@@ -62,22 +66,30 @@ def _order(seed: int, what: str, turn: Column) -> Column:
     return F.xxhash64(F.lit(seed), turn.cast("long"), F.col(what).cast("long"))
 
 
-def _measures(totals: DataFrame, exponents: list[float], all_tokens: int) -> dict[float, tuple[float, float]]:
-    """For each exponent, the entropy of the weights and the largest weight-to-share ratio over the smallest."""
-    x, p = F.col("x"), F.col("tokens") / F.lit(float(all_tokens))
+class Unreachable(ValueError):
+    """A target that no exponent meets."""
+
+
+def _measures(totals: DataFrame, exponents: list[float], all_tokens: int) -> dict[float, tuple[float, float, float]]:
+    """For each exponent, the entropy of the weights, the largest weight-to-share ratio over the smallest, and the largest."""
+    p = F.col("tokens") / F.lit(float(all_tokens))
+    high = totals.agg(F.max("tokens")).first()[0] / all_tokens
+    x, log = F.col("x"), F.log(F.col("p") / F.lit(high))  # against the largest share, so that nothing underflows to zero in all
     rows = totals.select(p.alias("p"), F.explode(F.array(*[F.lit(float(e)) for e in exponents])).alias("x"))
-    raised, ratio = F.exp(x * F.log(F.col("p"))), F.exp((x - 1) * F.log(F.col("p")))
-    found = rows.groupBy("x").agg(F.sum(raised).alias("z"), F.sum(raised * x * F.log(F.col("p"))).alias("s"), F.max(ratio).alias("high"), F.min(ratio).alias("low"), F.max(ratio / F.lit(1.0)).alias("most"))
-    found = found.select("x", (F.log("z") - F.col("s") / F.col("z")).alias("entropy"), (F.col("high") / F.col("low")).alias("spread"), (F.col("most") / F.col("z")).alias("most"))
-    return {r.x: (r.entropy, r.spread, r.most) for r in found.collect()}  # as many rows as exponents
+    raised = F.exp(x * log)
+    ratio = raised / F.col("p")
+    found = rows.groupBy("x").agg(F.sum(raised).alias("z"), F.sum(raised * x * log).alias("s"), F.max(ratio).alias("high"), F.min(ratio).alias("low"))
+    found = found.select("x", (F.log("z") - F.col("s") / F.col("z")).alias("entropy"), F.try_divide("high", "low").alias("spread"), (F.col("high") / F.col("z")).alias("most"))
+    return {r.x: (r.entropy, r.spread if r.spread is not None else float("inf"), r.most) for r in found.collect()}  # as many rows as exponents
 
 
 def exponent(totals: DataFrame, target: Target) -> float:
-    """The exponent in [0, 1] nearest 0 that keeps the target: the entropy at most, or the repeats at most, the target's.
+    """The smallest exponent that keeps the target: the entropy at most, or the repeats at most, the target's.
 
-    Both fall as the exponent grows. Each round measures POINTS exponents over
-    the table of sources at once and goes on between two neighbours; nothing but
-    the measures comes to the driver.
+    Both fall as the exponent grows: the repeats until 1, where every source is read alike, the entropy beyond it
+    too, towards the sources that share the largest size. A target below what the largest exponent reaches is
+    refused. Each round measures POINTS exponents over the table of sources at once and goes on between two
+    neighbours; nothing but the measures comes to the driver.
     """
     all_tokens = totals.agg(F.sum("tokens")).first()[0]
     if not all_tokens:
@@ -86,11 +98,21 @@ def exponent(totals: DataFrame, target: Target) -> float:
     def meets(measure: tuple[float, float, float]) -> bool:
         entropy, spread, most = measure
         if target.entropy is not None:
-            return entropy <= target.entropy
+            return entropy <= target.entropy + 1e-9
         repeats = spread if target.budget_tokens is None else most * target.budget_tokens / all_tokens
         return repeats <= target.max_repeats * (1 + 1e-12)
 
     low, high = 0.0, 1.0
+    if target.entropy is not None:
+        steps = [2.0**i for i in range(LARGEST.bit_length())]
+        measure = _measures(totals, steps, all_tokens)
+        found = next((i for i, x in enumerate(steps) if meets(measure[x])), None)
+        if found is None:
+            raise Unreachable(f"no weights of an entropy of {target.entropy}: at exponent {steps[-1]:g} it is {measure[steps[-1]][0]:.4g}")
+        low, high = (steps[found - 1] if found else 0.0), steps[found]
+    elif not meets(_measures(totals, [1.0], all_tokens)[1.0]):
+        needed = 1.0 if target.budget_tokens is None else target.budget_tokens / all_tokens
+        raise Unreachable(f"every source is read {needed:.4g} times at least, and the limit is {target.max_repeats:g}")
     for _ in range(ROUNDS):
         points = [low + (high - low) * i / (POINTS - 1) for i in range(POINTS)]
         measure = _measures(totals, points, all_tokens)
@@ -119,7 +141,8 @@ def planned(docs: DataFrame, target: Target = Target(), bound: int = BROADCAST_R
     totals = written(rows.groupBy("name").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
     power = exponent(totals, target)
     all_tokens = float(totals.agg(F.sum("tokens")).first()[0] or 1)
-    raised = F.exp(power * F.log(F.col("tokens") / all_tokens))
+    largest = float(totals.agg(F.max("tokens")).first()[0] or 1)
+    raised = F.exp(power * F.log(F.col("tokens") / largest))
     z, least = totals.agg(F.sum(raised), F.max(F.col("tokens") / raised)).first()
     budget = target.budget_tokens if target.budget_tokens is not None else (least or 0.0) * (z or 1.0)
     weight = raised / (z or 1.0)

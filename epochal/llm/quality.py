@@ -174,7 +174,7 @@ def measured(docs: DataFrame, limits: Limits = Limits(), extra: tuple[str, ...]
         yield from passed_on()
 
     schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in kept) + ", kind tinyint, " + ", ".join(f"{n} long" for n in numbers) + ", base_failed boolean, classes array<long>, common array<long>, classes_n long, common_n long"
-    return mapped(rows, run, schema).withColumn("tongue", F.coalesce("lang", F.lit("")))
+    return mapped(rows, run, schema).withColumn("tongue", F.coalesce(F.concat(F.lit("1"), F.col("lang").cast("string")), F.lit("0")))  # a null language is one of its own
 
 
 def _shares(histogram: str) -> Column:

@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import BROADCAST_ROWS, looked_up, mapped, pick, shared_dir, written
 
@@ -63,9 +64,9 @@ def record_bytes(r: Record) -> bytes:
     """One record as a gzip member."""
     url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", r.url) if r.url is not None else None
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {r.payload_bytes}\r\n\r\n".encode() + (r.payload or b"")
-    head = {"WARC-Type": r.kind, "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{r.page_id} {r.digest} {url}')}>", "WARC-Date": DATE, "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{r.digest}", "X-Page-ID": r.page_id}
+    head = {"WARC-Type": r.kind, "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{r.page_id} {r.digest} {url}')}>", "WARC-Date": DATE, "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{r.digest}", "X-Page-ID": None if r.page_id is None else json.dumps(r.page_id)}
     if r.kind == "revisit":
-        head |= {"WARC-Profile": PROFILE, "X-Refers-To-Page-ID": r.refers_to}
+        head |= {"WARC-Profile": PROFILE, "X-Refers-To-Page-ID": json.dumps(r.refers_to)}
     head |= {"Content-Type": "application/http; msgtype=response", "Content-Length": len(block)}
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None) + "\r\n"
     return gzip.compress(text.encode() + block + b"\r\n\r\n", 4, mtime=0)
@@ -82,7 +83,7 @@ def parsed(member: bytes) -> Record:
     block = block[: int(field["Content-Length"])]
     http, payload = block.split(b"\r\n\r\n", 1)
     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-    page_id, refers_to = (int(field[k]) if k in field else None for k in ("X-Page-ID", "X-Refers-To-Page-ID"))
+    page_id, refers_to = (json.loads(field[k]) if k in field else None for k in ("X-Page-ID", "X-Refers-To-Page-ID"))
     digest = field["WARC-Payload-Digest"].removeprefix("sha1:")
     if field["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"the payload of page {page_id} has another digest than its header")
@@ -196,6 +197,23 @@ class ArchiveReader:
                 yield parsed(self.read(f"archive/{entry['filename']}", entry["offset"], entry["length"]))
 
 
+#: Schemes of Hadoop's connectors and the ones under which Arrow knows the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "abfss": "abfss", "abfs": "abfs", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file", "s3": "s3"}
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a Hadoop URI, and the path in it.
+
+    Object stores take their credentials from the environment of the executors; hdfs and viewfs need libhdfs there.
+    """
+    scheme, colon, rest = uri.partition(":")
+    if not colon:
+        return fs.FileSystem.from_uri(uri)
+    if scheme not in SCHEMES:
+        raise ValueError(f"archives can't be kept at {scheme}: {sorted(SCHEMES)} are known")
+    return fs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest}")
+
+
 class Bytes:
     """A byte string as a source."""
 
@@ -224,7 +242,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     """Write the archives below ``folder``; the written manifest has path and records of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = opened(folder)
         store.create_dir(base, recursive=True)
         out = None
         for batch in batches:
@@ -249,10 +267,16 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     return written(mapped(pages, run, "path string, records long"))
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
-    """Every record of the archives in ``manifest`` (column path): page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+def read_archives(manifest: DataFrame, id_type: str = "long") -> DataFrame:
+    """Every record of the archives in ``manifest`` (column path): page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
+
+    Page ids are whole numbers or, with id_type string, strings.
+    """
+    if id_type not in ("long", "string"):
+        raise ValueError("page ids are long or string")
+    own = pa.int64() if id_type == "long" else pa.string()
+    schema = f"page_id {id_type}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}, payload binary"
+    kinds = [own, pa.string(), pa.int64(), pa.string(), pa.string(), own, pa.binary()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def table(some: list[Record]) -> pa.RecordBatch:
@@ -262,7 +286,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, at = fs.FileSystem.from_uri(path)
+                store, at = opened(path)
                 with store.open_input_file(at) as file:
                     some, size = [], 0
                     for record in ArchiveReader(file).records():
@@ -281,4 +305,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 def archived(pages: DataFrame, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Write every page to archives in the shared folder and read the records back."""
     folder = shared_dir(pages.sparkSession)
-    return read_archives(write_archives(marked(pages, least_bytes, bound), folder, archive_bytes, zip64))
+    pages = pick(pages, "page_id", "url", "html")
+    id_type = "string" if isinstance(pages.schema["page_id"].dataType, T.StringType) else "long"
+    pages = pages.withColumn("page_id", F.col("page_id").cast(id_type))
+    return read_archives(write_archives(marked(pages, least_bytes, bound), folder, archive_bytes, zip64), id_type)

@@ -128,6 +128,23 @@ def test_entropy_and_budget(spark):
     assert half - 62 * len(p) <= sum(x.tokens for x in got) <= half + len(p)
 
 
+def test_targets_that_no_weights_meet_are_refused(spark):
+    rows = corpus(SIZES)
+    p, tokens = shares(rows)
+    own = -sum(x * math.log(x) for x in p.values())
+    low = mixing.planned(docs(spark, rows), mixing.Target(entropy=own / 3))  # sharper than the corpus itself
+    z = sum(x**low.exponent for x in p.values())
+    w = [x**low.exponent / z for x in p.values()]
+    assert low.exponent > 1 and -sum(x * math.log(x) for x in w) == pytest.approx(own / 3, abs=1e-4)
+    twins = corpus({"a": 300, "b": 300})
+    equal = min(shares(twins)[0].values()) == max(shares(twins)[0].values())
+    for target, data in ((mixing.Target(entropy=-0.1), rows), (mixing.Target(max_repeats=1.5, budget_tokens=33 * sum(tokens.values())), rows), *([(mixing.Target(entropy=0.1), twins)] * equal)):
+        with pytest.raises(mixing.Unreachable):
+            mixing.planned(docs(spark, data), target)
+    just = mixing.planned(docs(spark, rows), mixing.Target(max_repeats=2, budget_tokens=2 * sum(tokens.values())))
+    assert just.exponent == pytest.approx(1.0)
+
+
 def test_the_stream_is_interleaved_and_repeatable(spark):
     rows, target = corpus(SIZES), mixing.Target(max_repeats=3, block_tokens=300)
     first = mixing.mixed(docs(spark, rows), target).collect()
@@ -274,3 +291,27 @@ def test_pipeline(spark):
     table.write.parquet(f"{folder}/documents.parquet")
     whole = corpus_pipeline.run(spark, folder)
     assert {x.doc_id for x in whole.select("doc_id").collect()} == kept[3] and whole.columns == out.columns
+
+
+def test_hadoop_schemes_are_mapped(monkeypatch):
+    asked = []
+
+    class Stores:
+        class FileSystem:
+            @staticmethod
+            def from_uri(uri):
+                asked.append(uri)
+                return None, uri
+
+    monkeypatch.setattr(warc, "fs", Stores)
+    for uri in ("s3a://bucket/x", "hdfs://name:9000/x", "file:///x", "/x"):
+        warc.opened(uri)
+    assert asked == ["s3://bucket/x", "hdfs://name:9000/x", "file:///x", "/x"]
+    with pytest.raises(ValueError, match="ftp"):
+        warc.opened("ftp://host/x")
+
+
+def test_page_ids_may_be_strings(spark):
+    rows = [("a1", "u", "x" * 2000), ("b2", "u", "x" * 2000), (None, "u", "y"), ("7", None, None)]
+    got = warc.archived(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {("a1", "revisit", "b2"), ("b2", "response", None), (None, "response", None), ("7", "response", None)}
