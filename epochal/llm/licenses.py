@@ -1,14 +1,14 @@
 """License scans by ordered signature rules.
 
 A text becomes its words, lower-cased and joined by single blanks. Rules are
-regular expressions over that, each with a label, a priority and the keywords
-that a text must hold before the expression is tried: one Aho-Corasick pass
-finds the families that occur. Detections are taken by priority, then length,
-then place; one whose interval lies within an accepted one, or overlaps one of
-higher priority, is suppressed. The three base phrases are rules too, with the
-highest priority, and are never suppressed.
-
-Rules are hand-written names of license families times hand-written phrasings.
+hand-written regular expressions over that (license_rules.py): SPDX identifiers,
+sentences of the licenses, addresses, notices, names and codes, each with a label
+and a role that gives its priority. Every rule has keywords, strings of which each
+of its matches holds at least one; they are read off the parsed expression, so
+the prefilter can't miss a match. One Aho-Corasick pass finds the rules to try.
+Detections are taken by priority, then length, then place; one whose interval lies
+within an accepted one, or overlaps one of higher priority, is suppressed. The
+three base phrases are rules too, with the highest priority, and never suppressed.
 
 Defined results: null counts as empty; words are runs of ASCII letters, digits
 and all characters beyond ASCII; places count words from 0; a text without
@@ -27,6 +27,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .license_rules import SIGNATURES
 from .shared import mapped, pick
 
 #: The base phrases and their labels.
@@ -36,66 +37,10 @@ BASE = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: Label, SPDX identifier, keywords (each alternative of the name has a word that begins with one), name as an expression over words.
-FAMILIES = (
-    ("mit", "MIT", "mit expat", "(?:mit|expat)"),
-    ("apache-1", "Apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1(?: 1)?"),
-    ("apache-2", "Apache-2.0", "apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
-    ("bsd-2", "BSD-2-Clause", "bsd freebsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
-    ("bsd-3", "BSD-3-Clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
-    ("bsd-4", "BSD-4-Clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)"),
-    ("0bsd", "0BSD", "0bsd zero", "(?:0bsd|zero clause bsd)"),
-    ("gpl-1", "GPL-1.0-only", "general", "(?:gnu )?general public license (?:version |v)?1(?: 0)?"),
-    ("gpl-2", "GPL-2.0-only", "general", "(?:gnu )?general public license (?:version |v)?2(?: 0)?"),
-    ("gpl-3", "GPL-3.0-only", "general", "(?:gnu )?general public license (?:version |v)?3(?: 0)?"),
-    ("gpl", "GPL-2.0-or-later", "gpl", "(?:gnu )?gpl(?:v?[123])?"),
-    ("lgpl-2", "LGPL-2.0-only", "library", "(?:gnu )?library general public license(?: version)?(?: 2)?"),
-    ("lgpl-2.1", "LGPL-2.1-only", "lesser", "(?:gnu )?lesser general public license (?:version |v)?2 1"),
-    ("lgpl-3", "LGPL-3.0-only", "lesser", "(?:gnu )?lesser general public license (?:version |v)?3(?: 0)?"),
-    ("lgpl", "LGPL-2.1-or-later", "lgpl", "(?:gnu )?lgpl(?:v?[23])?"),
-    ("agpl-3", "AGPL-3.0-only", "affero", "(?:gnu )?affero general public license(?: version)?(?: 3)?(?: 0)?"),
-    ("agpl", "AGPL-3.0-or-later", "agpl", "(?:gnu )?agpl(?:v?3)?"),
-    ("mpl-1.1", "MPL-1.1", "mozilla", "mozilla public license(?: version)? 1 1"),
-    ("mpl-2", "MPL-2.0", "mozilla", "mozilla public license(?: version)? 2(?: 0)?"),
-    ("epl-1", "EPL-1.0", "eclipse", "eclipse public license(?: version)? 1(?: 0)?"),
-    ("epl-2", "EPL-2.0", "eclipse", "eclipse public license(?: version)? 2(?: 0)?"),
-    ("cddl-1", "CDDL-1.0", "cddl common", "(?:common development and distribution license|cddl)(?: 1 0)?"),
-    ("isc", "ISC", "isc", "isc"),
-    ("zlib", "Zlib", "zlib", "zlib(?: libpng)?"),
-    ("boost", "BSL-1.0", "boost", "boost software"),
-    ("unlicense", "Unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "WTFPL", "wtfpl", "wtfpl"),
-    ("artistic-1", "Artistic-1.0", "artistic", "artistic license(?: version)? 1(?: 0)?"),
-    ("artistic-2", "Artistic-2.0", "artistic", "artistic license(?: version)? 2(?: 0)?"),
-    ("python-2", "Python-2.0", "python", "python software foundation"),
-    ("php-3", "PHP-3.01", "php", "php"),
-    ("ruby", "Ruby", "ruby", "ruby"),
-    ("openssl", "OpenSSL", "openssl", "openssl"),
-    ("ms-pl", "MS-PL", "microsoft", "microsoft public"),
-    ("ms-rl", "MS-RL", "microsoft", "microsoft reciprocal"),
-    ("eupl-1.2", "EUPL-1.2", "european", "european union public"),
-    ("osl-3", "OSL-3.0", "open", "open software license(?: version)? 3(?: 0)?"),
-    ("afl-3", "AFL-3.0", "academic", "academic free license(?: version)? 3(?: 0)?"),
-    ("ofl-1.1", "OFL-1.1", "sil", "sil open font"),
-    ("cc0", "CC0-1.0", "cc0 creative", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?"),
-    ("cc-by", "CC-BY-4.0", "cc creative", "(?:cc by|creative commons attribution)(?: [1-4] 0)?"),
-    ("cc-by-sa", "CC-BY-SA-4.0", "cc creative", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] 0)?"),
-    ("cc-by-nd", "CC-BY-ND-4.0", "cc creative", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] 0)?"),
-    ("cc-by-nc", "CC-BY-NC-4.0", "cc creative", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] 0)?"),
-    ("cc-by-nc-sa", "CC-BY-NC-SA-4.0", "cc creative", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] 0)?"),
-    ("cc-by-nc-nd", "CC-BY-NC-ND-4.0", "cc creative", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] 0)?"),
-)
-
-#: Role, priority, expression; NAME and SPDX stand for the family's, and FULL for its name with the word license.
-PHRASINGS = (
-    ("identifier", 95, "spdx license identifier SPDX"),
-    ("grant", 90, "(?:licensed|released|distributed|available|published|provided|redistributed)(?: to you)? under (?:the )?(?:terms of )?(?:the )?NAME(?: licen[cs]e)?"),
-    ("terms", 85, "(?:subject to|governed by|covered by|in accordance with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?NAME(?: licen[cs]e)?"),
-    ("choice", 80, "(?:at your option|either|dual licensed)(?: under)?(?: the)? NAME(?: licen[cs]e)?"),
-    ("pointer", 70, "(?:see|read|copy of|found in|according to) (?:the )?FULL(?: for details| file| text)?"),
-    ("title", 60, "(?:the )?FULL(?: agreement)?"),
-    ("code", 55, "licen[cs]e(?:d|s)? (?:is |type |name )?NAME"),
-)
+#: Strings of a choice that are written out to find keywords.
+MOST_STRINGS = 64
+#: What a role counts for.
+PRIORITIES = {"base": 100, "id": 96, "text": 92, "url": 88, "grant": 84, "name": 70, "title": 60, "mention": 45}
 
 
 class Rule(NamedTuple):
@@ -116,17 +61,65 @@ def _bounded(expression: str) -> re.Pattern:
     return re.compile(rf"(?<![^ ])(?:{expression})(?![^ ])".encode())
 
 
+def _finite(op, arg) -> set[str] | None:
+    """All strings of a part of an expression, if it is a literal, a class, or a choice of literals."""
+    name = str(op)
+    if name == "LITERAL":
+        return {chr(arg)}
+    if name == "IN" and all(str(kind) == "LITERAL" for kind, _ in arg):
+        return {chr(x) for _, x in arg}
+    ways = [arg[3]] if name == "SUBPATTERN" else arg[1] if name == "BRANCH" else []
+    out: set[str] = set()
+    for way in ways:
+        own = {""}
+        for part in way:
+            found = _finite(*part)
+            if found is None or len(own) * len(found) > MOST_STRINGS:
+                return None
+            own = {a + b for a in own for b in found}
+        out |= own
+    return out or None
+
+
+def _runs(parsed) -> list[frozenset[str]]:
+    """For a parsed expression, sets of strings of which every match holds at least one."""
+    out, run = [], {""}
+    for op, arg in parsed:
+        found = _finite(op, arg)
+        if found is not None and len(run) * len(found) <= MOST_STRINGS:
+            run = {a + b for a in run for b in found}
+            continue
+        out, run = out + [frozenset(run)] * (run != {""}), {""}
+        if str(op) == "SUBPATTERN":
+            out += _runs(arg[3])
+        elif str(op) == "MAX_REPEAT" and arg[0] > 0:
+            out += _runs(arg[2])
+        elif str(op) == "BRANCH" and all(ways := [_runs(x) for x in arg[1]]):
+            out.append(frozenset().union(*(_best(w) for w in ways)))
+        elif found is not None:
+            run = found
+    return [s for s in out + [frozenset(run)] if "" not in s]
+
+
+def _best(sets: list[frozenset[str]]) -> set[str]:
+    """The most telling set: the one whose shortest string is longest; strings that hold another of the set say no more than that."""
+    return max(({x for x in s if not any(y != x and y in x for y in s)} for s in sets), key=lambda s: (min(map(len, s)), -len(s)), default=frozenset({""}))
+
+
+def keywords(expression: str) -> tuple[str, ...]:
+    """Strings of which every match of an expression holds at least one: they follow from the expression itself."""
+    found = _best(_runs(re._parser.parse(expression)))
+    if min(map(len, found)) < 3:
+        raise ValueError(f"no telling string in {expression!r}")
+    return tuple(sorted(found))
+
+
 @functools.cache
 def rules() -> tuple[Rule, ...]:
-    """All rules in order: the base phrases, then every phrasing of every family."""
-    out = [Rule(label, "base", 100, (phrase.split()[2 if label == "mit" else 0],), _bounded(phrase)) for phrase, label in BASE]
-    for role, priority, phrasing in PHRASINGS:
-        for label, spdx, keywords_, name in FAMILIES:
-            full = name if "license" in name.replace("(?: license)?", "") else f"{name} licen[cs]e"
-            words = re.sub("[^a-z0-9]+", " ", spdx.lower())
-            keywords = tuple(keywords_.split()) if role != "identifier" else (words.split()[0],)
-            out.append(Rule(label, role, priority, keywords, _bounded(phrasing.replace("FULL", full).replace("NAME", name).replace("SPDX", words))))
-    return tuple(out)
+    """All rules in order: the base phrases, then the signatures."""
+    lines = [("base", label, phrase) for phrase, label in BASE]
+    lines += [(role, label, expression) for label, role, expression in (line.split(" ", 2) for line in SIGNATURES.split("\n") if line)]
+    return tuple(Rule(label, role, PRIORITIES[role], keywords(expression), _bounded(expression)) for role, label, expression in lines)
 
 
 @functools.cache
@@ -134,7 +127,7 @@ def _prefilter() -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for i, rule in enumerate(rules()):
         for word in rule.keywords:
-            automaton.add_word(f" {word}", (*automaton.get(f" {word}", ()), i))
+            automaton.add_word(word, (*automaton.get(word, ()), i))
     automaton.make_automaton()
     return automaton
 
@@ -146,11 +139,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
-def detected(joined: bytes) -> list[Detection]:
-    """The detections that stay, by place; ``joined`` is the words with a blank between them."""
-    hit: set[int] = set()
-    for _, ids in _prefilter().iter(" " + joined.decode("utf-8", "replace")):
-        hit.update(ids)
+def detected(joined: bytes, prefilter: bool = True) -> list[Detection]:
+    """The detections that stay, by place; ``joined`` is the words with a blank between them. Without the prefilter every rule is tried."""
+    hit: set[int] = set() if prefilter else set(range(len(rules())))
+    if prefilter:
+        for _, ids in _prefilter().iter(joined.decode("utf-8", "replace")):
+            hit.update(ids)
     raw = [Detection(*m.span(), rules()[i]) for i in sorted(hit) for m in rules()[i].pattern.finditer(joined)]
     kept: list[Detection] = []
     for d in sorted(raw, key=lambda d: (-d.rule.priority, d.start - d.end, d.start)):
