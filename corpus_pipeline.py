@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from epochal.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from epochal.llm.shared import written
+from epochal.llm.shared import owned, shared_dir, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -59,8 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    """All stages over documents, each written and read again; what a stage wrote on its way is deleted behind it."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark)
+    for name, stage in STAGES[:-1]:
+        with owned(spark):
+            docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
