@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.storage import removed, shared_dir, written
+from ..sources.storage import owned, removed, shared_dir, written
 
-__all__ = ["BROADCAST_ROWS", "by_text", "looked_up", "mapped", "pick", "positional", "removed", "shared_dir", "text_digest", "without", "written"]
+__all__ = ["BROADCAST_ROWS", "by_text", "looked_up", "mapped", "owned", "pick", "positional", "removed", "shared_dir", "text_digest", "without", "written"]
 
 #: Rows and bytes of a lookup table that may be broadcast whole, with what a row takes beside its values.
 BROADCAST_ROWS, BROADCAST_BYTES, ROW_BYTES = 200_000, 8 << 20, 32

@@ -245,6 +245,32 @@ def test_links_of_planted_fingerprints(spark, heavy, most):
     assert {frozenset(s) for s in got.values()} == {frozenset(s) for s in want.values() if len(s) > 1}
 
 
+@pytest.mark.parametrize(("n", "places", "most"), [(3000, 16, 3), (400, 18, 3), (50, 18, 3), (5000, 13, 1), (30, 14, 2)])
+def test_dense_buckets(n, places, most):
+    """Fingerprints that differ in few places: the forest joins what comparing all with all joins."""
+    r = np.random.default_rng(n)
+    at = r.choice(64, places, replace=False)
+    low = r.choice(1 << places, n, replace=False)
+    fp = np.array([sum(1 << int(b) for i, b in enumerate(at) if x >> i & 1) for x in low.tolist()], np.uint64) ^ np.uint64(r.integers(0, 2**63))
+    found = simhash._joined_dense(fp, most)
+    want = simhash._joined(np.zeros(n, np.int64), fp.reshape(-1, 1), (most,))
+
+    def classes(pairs):
+        root = list(range(n))
+        for a, b in zip(*pairs):
+            ra, rb = simhash._root(root, a), simhash._root(root, b)
+            root[max(ra, rb)] = min(ra, rb)
+        return [simhash._root(root, i) for i in range(n)]
+
+    assert classes(found) == classes(want) and len(found[0]) == len(want[0])
+    assert all((int(fp[a]) ^ int(fp[b])).bit_count() <= most for a, b in zip(*found))
+
+
+def test_a_full_bucket_is_quick():
+    left, _ = simhash._joined_dense(np.arange(1 << 18, dtype=np.uint64), 3)
+    assert len(left) == (1 << 18) - 1
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     order = random.Random(1).sample(range(n), n)
