@@ -375,6 +375,13 @@ def zset_window(spark, d):
     return counted.join(ranked, "k").select("k", "_w", "run", "place")
 
 
+@query(WITH + "SELECT idem, acct, CAST(sum(amt) OVER (PARTITION BY cur ORDER BY value_date) AS BIGINT) AS run, rank() OVER (PARTITION BY acct, cur ORDER BY value_date) AS place FROM postings")
+def window_by_size(spark, d):
+    """Three partitions of currencies are spread over tasks, those of accounts are small enough for one."""
+    rows = rel(spark, d).sized_window("sum", "amt", ("cur",), (("value_date", "asc"),), "run", limit=500)
+    return longs(rows.sized_window("rank", None, ("acct", "cur"), (("value_date", "asc"),), "place").select("idem", "acct", "run", "place").df, "run", "place")
+
+
 # --- changes, views, rungs ---
 
 

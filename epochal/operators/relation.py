@@ -261,12 +261,20 @@ class Rel:
             out = _windows.spread(self.df, function, x, partition, order, name or function)
         return self._next(out, "window")
 
+    def sized_window(self, function: str, x: str | None = None, partition: tuple[str, ...] = (), order: tuple[tuple[str, str], ...] = (), name: str | None = None, limit: int = 4_000_000) -> Rel:
+        """window(), or spread_window() if a partition has more rows than the limit: the partitions are counted first, by a grouped count."""
+        largest = self.df.groupBy(*partition).count().agg(F.max("count")).first()[0] or 0
+        if largest > limit and order:
+            return self.spread_window(function, x, partition, order, name)
+        return self.window(function, x, partition, tuple(F.desc(c) if way == "desc" else F.asc(c) for c, way in order), name)
+
     def window(self, function: str, x=None, partition: tuple[str, ...] = (), order: tuple = (), name: str | None = None) -> Rel:
         """One more column: a rank, or an aggregate over the rows up to the current one and its peers.
 
         Rows of row_number that tie are numbered in the order of all columns.
         Without an order an aggregate covers the partition. A partition is one
-        task's work; for very large ones there is spread_window().
+        task's work; for very large ones there is spread_window(), and
+        sized_window() chooses.
         """
         spec = Window.partitionBy(*partition)
         if function in WINDOW_FUNCTIONS:
