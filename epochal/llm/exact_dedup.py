@@ -11,9 +11,9 @@ three probes into 8 MB of bits at most, whatever the input, is built by grouped
 sums and read by every task as a constant: rows that it turns away are certainly
 no hits and go no further. So a batch that is looked up, rows that are resolved
 and texts that are verified meet the index by a join only if they pass the filter,
-and the join leaves the hits alone. Hits are verified byte by byte: the smallest
-and the largest normalised text under the digest must be the same string. Where
-they differ, the digest collided and its rows are grouped by the text itself.
+and the join leaves the hits alone. Hits are verified byte by byte: their normalised
+texts are made distinct, and a digest must have one of them. Where it has more, the
+digest collided and its rows are grouped by the text itself.
 
 Defined results: a null text counts as empty; texts are equal when identical
 after the six ASCII white-space characters are deleted, so all blank texts form
@@ -161,7 +161,7 @@ class DigestIndex:
     def collided(self) -> DataFrame:
         """The digests under which the bytes differ, found by comparing the texts of all hits, and of hits only."""
         found, n, may = self.hits()
-        differ = self._texts_of(found.select("digest"), n, may).groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).filter("low <> high")
+        differ = self._texts_of(found.select("digest"), n, may).distinct().groupBy("digest").count().filter("count > 1")
         return written(differ.select("digest"), f"{self.root}/collided-{self.merged}-{uuid.uuid4().hex}")
 
     def _texts_of(self, digests: DataFrame, n: int, may: Filter) -> DataFrame:
