@@ -17,7 +17,7 @@ from ..sources.storage import owned, removed, shared_dir, written
 __all__ = ["BROADCAST_ROWS", "by_text", "looked_up", "mapped", "owned", "pick", "positional", "removed", "shared_dir", "text_digest", "without", "written"]
 
 #: Rows and bytes of a lookup table that may be broadcast whole, with what a row takes beside its values.
-BROADCAST_ROWS, BROADCAST_BYTES, ROW_BYTES = 200_000, 8 << 20, 32
+BROADCAST_ROWS, BROADCAST_BYTES, ROW_BYTES = 200_000, 8 << 20, 64
 #: A key counts as hot from this share of all rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.001
 
