@@ -12,10 +12,11 @@ A key that ever had a row is present, at zero too; a key without rows is absent.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.aggregates import total
 from ..functions.values import WIDE
@@ -38,6 +39,7 @@ class View:
     compact_every: int = 16
     checkpoint_every: int = 0
     relation: str | None = None
+    _schema: StructType | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
         self.contract.checked()
@@ -53,7 +55,9 @@ class View:
         return rows.groupBy(*self.keys).agg(*totals, F.count(F.lit(1)).alias("updates"))
 
     def merge(self, *parts: DataFrame) -> DataFrame:
-        """States over disjoint rows, as one."""
+        """States over disjoint rows, as one; a single one has each key once already."""
+        if len(parts) == 1:
+            return parts[0]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -78,6 +82,12 @@ class View:
         else:
             storage.moved(self.spark, staged, name)
 
+    def _read(self, path: str) -> DataFrame:
+        """A written part; footers are looked into once for all parts."""
+        if self._schema is None:
+            self._schema = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schema).parquet(path)
+
     def _current(self) -> list[tuple[int, int, str]]:
         """The fewest parts that cover all applied epochs: of parts from one epoch on, the longest."""
         longest: dict[int, tuple[int, int, str]] = {}
@@ -107,10 +117,10 @@ class View:
         parts = self._current()
         checkpoint = self.checkpoint_every and (epoch + 1) // self.checkpoint_every > (done + 1) // self.checkpoint_every
         if len(parts) >= self.compact_every or checkpoint:
-            state = self.merge(*[self.spark.read.parquet(p) for _, _, p in parts])
+            state = self.merge(*[self._read(p) for _, _, p in parts])
             self._write(state, "state", parts[0][0], epoch)
             if checkpoint:
-                self._write(self.spark.read.parquet(f"{self.root}/state/{parts[0][0]:012d}-{epoch:012d}"), "checkpoint", 0, epoch)
+                self._write(self._read(f"{self.root}/state/{parts[0][0]:012d}-{epoch:012d}"), "checkpoint", 0, epoch)
         return True
 
     def maintain(self, base: DataFrame, head: int) -> bool:
@@ -152,14 +162,14 @@ class View:
         parts = self._current()
         if not parts:
             raise Refused("NL0500", "no epoch is applied yet")
-        return self.merge(*[self.spark.read.parquet(p) for _, _, p in parts])
+        return self.merge(*[self._read(p) for _, _, p in parts])
 
     def reconstruct(self, base: DataFrame, anchor: int) -> DataFrame:
         """The view at an epoch: the newest checkpoint up to it and the base rows since."""
         held = [(high, path) for _, high, path in self._parts("checkpoint") if high <= anchor]
         since, path = max(held, default=(-1, None))
         suffix = self.fold(base.filter((F.col(self.epoch) > since) & (F.col(self.epoch) <= anchor)))
-        return self.merge(self.spark.read.parquet(path), suffix) if path else suffix
+        return self.merge(self._read(path), suffix) if path else suffix
 
     def read(self, base: DataFrame, anchor: int, key: dict | None = None) -> tuple[DataFrame, str]:
         """The rows at an epoch, and how they were had: view, or reconstruction."""
