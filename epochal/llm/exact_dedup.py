@@ -33,7 +33,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, looked_up, pick, positional, removed, shared_dir, written
+from .shared import BROADCAST_BYTES, BROADCAST_ROWS, looked_up, pick, positional, removed, shared_dir, written
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000"}
@@ -87,11 +87,11 @@ class DigestIndex:
 
     digest_bytes: bytes of the SHA-256 that serve as the key. Fewer than 32 make
     collisions likely, which byte verification then has to resolve.
-    bound: hits up to this number are broadcast; more are joined by a shuffle.
+    bound: hits up to this number, and 8 MB, are broadcast; more are joined by a shuffle.
     """
 
     def __init__(self, spark: SparkSession, digest_bytes: int = 32, bound: int = BROADCAST_ROWS):
-        self.spark, self.digest_bytes, self.bound = spark, digest_bytes, bound
+        self.spark, self.digest_bytes, self.bound = spark, digest_bytes, min(bound, BROADCAST_BYTES // 96)
         self.root, self.runs, self.level, self.merged = shared_dir(spark), [], None, 0
         self._texts: list[DataFrame] = []
 
@@ -229,11 +229,11 @@ def exact_dedup(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     rows = plain.withColumn("digest", F.unhex(F.sha2(normalised(text), 256))).withColumn("n_code", F.length(F.coalesce(text, F.lit(""))).cast("long"))
     rows = index.met(rows, verdict, n, may)
     stays = doc_id.eqNullSafe(F.col("stay_id")) & (F.col("n_code") == F.col("stay_n"))
-    listed = index.entries().filter(may.may(F.col("digest"))).join(F.broadcast(verdict) if n <= bound else verdict, "digest")
+    listed = index.entries().filter(may.may(F.col("digest"))).join(F.broadcast(verdict) if n <= index.bound else verdict, "digest")
     tied = listed.filter(F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("n_code") == F.col("stay_n"))).groupBy("digest").count().filter("count > 1")
     tied = written(tied.select("digest"), f"{index.root}/tied")
     out = rows.filter(F.col("grouped").isNull() | stays)
     if not tied.isEmpty():  # rows alike in doc_id, length and normalised text: one of each group stays
-        marked = F.broadcast(tied) if tied.count() <= bound else tied
+        marked = F.broadcast(tied) if tied.count() <= index.bound else tied
         out = out.join(marked, "digest", "left_anti").unionByName(out.join(marked, "digest", "left_semi").dropDuplicates(["digest"]))
     return out.select([F.col(f"c{i}") for i in range(len(names))]).toDF(*names)
