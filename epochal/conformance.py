@@ -299,6 +299,7 @@ _SQL_REFUSALS = {
     "confidential_renamed": ("NL0260", "select k from (select c_custkey as k, c_name as z from customer) x order by z"),
     "confidential_shown": ("ok", "select c_custkey, c_name from customer"),
     "command": ("0A000", "drop table nation"),
+    "no_statement": ("42601", "selec n_name from nation"),
 }
 
 

@@ -54,6 +54,7 @@ CODES = {
     "22003": "an amount has more decimals than its currency",
     "22023": "an anchor or a currency that does not exist",
     "0A000": "not supported",
+    "42601": "the statement can't be read",
     "40001": "another writer came between a serializable read and its commit",
     "IR001": "an operator with a wrong number of inputs",
     "IR010": "an infeasible contract",

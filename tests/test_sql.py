@@ -103,6 +103,8 @@ REFUSALS = {
     "select x from elsewhere": "NL0500",
     "select day from sales as of system time 40": "22023",
     "select day from sales as of system time soon": "NL0510",
+    "selec day from sales": "42601",
+    "": "42601",
     "delete from sales": "NL0230",
     "drop table sales": "0A000",
     "create table more as select day from sales": "0A000",
