@@ -18,6 +18,7 @@ without a base phrase. An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -147,13 +148,36 @@ def detected(joined: bytes, prefilter: bool = True) -> list[Detection]:
             hit.update(ids)
     raw = [Detection(*m.span(), rules()[i]) for i in sorted(hit) for m in rules()[i].pattern.finditer(joined)]
     kept: list[Detection] = []
-    for d in sorted(raw, key=lambda d: (-d.rule.priority, d.start - d.end, d.start)):
-        inside = any(k.start <= d.start and d.end <= k.end or k.start < d.end and d.start < k.end and k.rule.priority > d.rule.priority for k in kept)
-        if d.rule.role == "base" or not inside:
-            kept.append(d)
+    for priority in sorted({d.rule.priority for d in raw}, reverse=True):
+        starts, ends = _merged(kept)
+        own = [d for d in raw if d.rule.priority == priority and not _meets(d, starts, ends)]
+        reach = -1
+        for d in sorted(own, key=lambda d: (d.start, -d.end)):
+            if d.end > reach or d.rule.role == "base":
+                kept.append(d)
+            reach = max(reach, d.end)
     return sorted(kept, key=lambda d: (d.start, d.end))
 
 
+def _merged(kept: list[Detection]) -> tuple[list[int], list[int]]:
+    """The stretches that detections cover, as starts and ends."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for d in sorted(kept, key=lambda d: d.start):
+        if ends and d.start < ends[-1]:
+            ends[-1] = max(ends[-1], d.end)
+        else:
+            starts.append(d.start)
+            ends.append(d.end)
+    return starts, ends
+
+
+def _meets(d: Detection, starts: list[int], ends: list[int]) -> bool:
+    """Whether a detection overlaps one of the stretches."""
+    at = bisect.bisect_right(ends, d.start)
+    return at < len(starts) and starts[at] < d.end
+
+
 def scan(text: str | None) -> tuple[int, list[tuple[int, int, Rule]]]:
     """The number of words, and (first word, words, rule) of every detection that stays."""
     words = words_of(text)
