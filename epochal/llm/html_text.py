@@ -31,6 +31,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -96,6 +97,7 @@ class Page:
         self.tags, self.parents, self.cut = ["html"], [-1], [False]
         self.named: set[int] = set()  # to be cut for their class or id
         self.events: list[tuple[int, str | None]] = []  # (node, text), or None at the boundary of a block
+        self.open = Counter({"html": 1})  # elements that are open, by name
         stack, at, size = [0], 0, len(source)
         while at < size:
             found = TAG.search(source, at)
@@ -115,9 +117,9 @@ class Page:
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(source, at)
                 at = end.end() if end else size
-                stack.pop()
+                self._drop(stack, len(stack) - 1)
             elif tag in VOID or (found[3] or "").rstrip().endswith("/") and tag in ("svg", "path", "use"):
-                stack.pop()
+                self._drop(stack, len(stack) - 1)
 
         self._cut_named()
 
@@ -141,8 +143,8 @@ class Page:
         self.events.append((node, html.unescape(raw)))
 
     def _start(self, stack: list[int], tag: str, attributes: str) -> None:
-        if tag in ("html", "body") and tag in (self.tags[i] for i in stack):
-            stack.append(stack[-1])  # a second one adds nothing; the end tag or the end of the page closes it
+        if tag in ("html", "body") and self.open[tag]:
+            self._push(stack, stack[-1])  # a second one adds nothing; the end tag or the end of the page closes it
             return
         if tag in NO_P_INSIDE:
             self._implied(stack, {"p"}, P_STOPS)
@@ -152,14 +154,25 @@ class Page:
         self.tags.append(tag)
         self.parents.append(parent)
         node = len(self.tags) - 1
-        self.cut.append(self.cut[parent] or self._never(stack, tag, attributes, node))
-        stack.append(node)
+        self.cut.append(self.cut[parent] or self._never(tag, attributes, node))
+        self._push(stack, node)
         if tag in BLOCK:
             self.events.append((node, None))
         elif tag == "br":
             self.events.append((parent, " "))
 
+    def _push(self, stack: list[int], node: int) -> None:
+        stack.append(node)
+        self.open[self.tags[node]] += 1
+
+    def _drop(self, stack: list[int], k: int) -> None:
+        for node in stack[k:]:
+            self.open[self.tags[node]] -= 1
+        del stack[k:]
+
     def _end(self, stack: list[int], tag: str) -> None:
+        if not self.open[tag]:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if self.tags[stack[k]] == tag:
                 self._pop(stack, k)
@@ -168,6 +181,8 @@ class Page:
                 return  # an inline end tag does not end the block around it
 
     def _implied(self, stack: list[int], ends: set[str], stops) -> None:
+        if not any(self.open[tag] for tag in ends):
+            return
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tags[stack[k]]
             if tag in ends:
@@ -181,12 +196,12 @@ class Page:
             if self.tags[node] in BLOCK:
                 self.events.append((node, None))
                 break
-        del stack[k:]
+        self._drop(stack, k)
 
-    def _never(self, stack: list[int], tag: str, attributes: str, node: int) -> bool:
+    def _never(self, tag: str, attributes: str, node: int) -> bool:
         if tag in NEVER:
             return True
-        framed = any(self.tags[i] in ("article", "main") for i in stack)
+        framed = self.open["article"] + self.open["main"] > 0
         if tag == "header" and not framed:
             return True
         if not attributes or tag in OUTER:
@@ -238,12 +253,12 @@ class Page:
 
         density = [0.0 if self.cut[i] else density_of(chars[i], link_chars[i], tags[i], link_tags[i]) for i in range(n)]
         total = [density_of(own[i], own[i] * linked[i], 1, linked[i]) if counted[i] or i == 0 else 0.0 for i in range(n)]
+        around_of = [0] * n  # the nearest element around that counts
         for i in range(1, n):
+            p = self.parents[i]
+            around_of[i] = p if counted[p] else around_of[p]
             if counted[i] and not self.cut[i]:
-                p = self.parents[i]
-                while p and not counted[p]:
-                    p = self.parents[p]
-                total[p] += density[i]
+                total[around_of[i]] += density[i]
         best = list(range(n))  # in each subtree, the node with the largest sum; of equals the outermost
         for i in range(n - 1, 0, -1):
             p = self.parents[i]

@@ -21,8 +21,10 @@ string, and empty spans. An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -92,10 +94,12 @@ def scan(text: str | None, least: float = LEAST) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     if any(w in low for w in SENSITIVE):
         keys = [m.span(1) for m in PRIVATE_KEY.finditer(text) if novelty(text, *m.span(1)) >= least]
-        held = [(a, b) for _, a, b in found] + keys
+        held = sorted([(a, b) for _, a, b in found] + keys)
+        starts, reach = [a for a, _ in held], list(itertools.accumulate((b for _, b in held), max))
         found += [("novel", a, b) for a, b in keys]
         for a, b in _candidates(text, low):
-            if not any(x <= a and b <= y for x, y in held) and novelty(text, a, b) >= least:
+            at = bisect.bisect_right(starts, a)
+            if not (at and reach[at - 1] >= b) and novelty(text, a, b) >= least:
                 found.append(("novel", a, b))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

@@ -679,3 +679,21 @@ def test_density_against_the_definition(seed):
 
     page = "<body>" + "".join(block(3) for _ in range(r.randint(1, 5))) + "</body>"
     assert html_text.main_text(page) == dense_text(page)
+
+
+def test_deep_pages_take_no_pairs():
+    """Nesting and unclosed elements by the ten thousand, in a time that grows with the page."""
+    n = 20_000
+    deep = "<div>" * n + BODY + "</div>" * n
+    open_ = "<span>" * n + "<p>text</p></b>" * n
+    began = time.perf_counter()
+    assert html_text.main_text(deep).startswith("Real text here")
+    assert html_text.main_text(open_).count("text") == n
+    assert time.perf_counter() - began < 60
+
+
+def test_many_secrets_take_no_pairs():
+    text = "token 0123456789abcdef0 " * 40_000
+    began = time.perf_counter()
+    assert len(secrets.scan(text)) == 40_000
+    assert time.perf_counter() - began < 60
