@@ -265,7 +265,7 @@ def links(wide: DataFrame, similarity: float = SIMILARITY, heavy: int = HEAVY, b
     keyed, found, label = written(key.select("key", "id", "at")), None, None
     for level in range(LEVELS + 1):
         shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        members = written(looked_up(keyed, shared, "key", "n", bound).filter("n is not null"))
+        members = written(looked_up(keyed, shared, "key", "n", 0).filter("n is not null"))  # by a shuffle at any size: there are some keys for every text
         if label is not None:
             members = members.join(label, "id", "left").withColumn("root", F.coalesce("root", "id"))
         else:
