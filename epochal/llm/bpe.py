@@ -44,9 +44,9 @@ from .shared import mapped, pick
 #: Tasks are the parallelism here; the library's own threads would contend with those of other tasks.
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 #: Characters that go to the library at once: an encoding takes some 100 bytes of memory a token.
-STRETCH = 1 << 18
-#: Distinct stretches between blanks whose ids a worker remembers, some 50 MB.
-PIECES = 200_000
+STRETCH = 1 << 16
+#: Distinct stretches between blanks whose ids a worker remembers, some 40 MB.
+PIECES = 100_000
 _CUT = re.compile(r"(?<=\S) ")
 _WIDE = re.compile(r"\s ")
 
