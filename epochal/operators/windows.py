@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from ..plans.refusal import Refused
 from ..sources.storage import written
 
+#: Sampled rows that make a stretch, stretches for each shuffle partition, and rows that a sample has at most.
+CELL, CELLS, MOST = 25, 4, 100_000
+
 #: For each function: how rows of a peer group, peer groups of a stretch, and stretches combine.
 COMBINE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max, "rank": F.sum, "dense_rank": F.sum}
 
@@ -66,6 +69,30 @@ def spread(df: DataFrame, function: str, x: str | None, partition: tuple[str, ..
     return df.join(run, [df[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)], "left").select(*df.columns, name)
 
 
+def stretched(df: DataFrame, partition: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """df with _stretch, rising with the order (nulls last) in partitions that are large, null in the others; without it if none is.
+
+    A sample says where stretches begin, and these places are written down: a row's stretch follows from its own values
+    alone, in any plan, and peers share one. _common, if any is: the row's peers alone fill a stretch, to be summed before they are dealt.
+    """
+    at = F.struct(*[x.alias(f"_{i}{j}") for i, c in enumerate(order) for j, x in enumerate((F.col(c).isNull(), F.col(c)))])
+    want = min(CELL * CELLS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST)
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(partition)]
+    some = df.select(*keys, at.alias("_at")).sample(min(1.0, want / max(1, df.count())), seed=1)
+    places = some.groupBy(*some.columns[:-1]).agg(F.sort_array(F.collect_list("_at")).alias("_all")).filter(F.size("_all") >= 2 * CELL)
+    cuts = written(places.select(*some.columns[:-1], F.filter("_all", lambda _, i: i % CELL == CELL - 1).alias("_cuts")))
+    most, common = cuts.agg(F.max(F.size("_cuts")), F.max(F.size(F.array_distinct("_cuts")) < F.size("_cuts"))).first()
+    if most is None:
+        return df
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    cut = lambda i: F.get("_cuts", i)
+    found = F.aggregate(steps, F.lit(0), lambda i, step: F.when((i + step <= F.size("_cuts")) & (cut(i + step - 1) <= F.col("_at")), i + step).otherwise(i))  # cuts up to the row's place
+    out = df.join(F.broadcast(cuts), [df[c].eqNullSafe(cuts[f"_k{i}"]) for i, c in enumerate(partition)], "left").withColumn("_at", at)
+    out = out.withColumn("_stretch", F.when(F.col("_cuts").isNotNull(), found))
+    same = (cut(F.col("_stretch") - 1) == F.col("_at")) & (cut(F.col("_stretch") - 2) == F.col("_at"))
+    return out.select(*df.columns, "_stretch", *[F.coalesce(same, F.lit(False)).alias("_common")] * common)
+
+
 def spread_row_number(df: DataFrame, partition: tuple[str, ...], order: tuple[tuple[str, str], ...], name: str) -> DataFrame:
     """df with each row's number in its partition, ties in the order of all columns."""
     rest = [c for c in df.columns if c not in {*partition, *[c for c, _ in order]}]

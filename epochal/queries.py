@@ -636,7 +636,7 @@ _NUMBERED = ", numbered AS (SELECT acct, epoch, amt, row_number() OVER w AS n, s
 
 @query(WITH + _NUMBERED + " SELECT acct, epoch, n, CAST(total AS BIGINT) AS total FROM numbered WHERE n % 16 = 0")
 def per_key_checkpoints(spark, d):
-    held = _checkpoints.checkpoints(postings(spark, d), ("acct",), "amt", 16, order=("idem", "amt"))
+    held = _checkpoints.checkpoints(postings(spark, d), ("acct",), "amt", 16, order=("idem", "amt"), parted=True)
     return longs(held.select("acct", "epoch", "n", "total"), "n", "total")
 
 

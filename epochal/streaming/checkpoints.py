@@ -8,37 +8,62 @@ the key's history is: a comparison of places picks them, nothing is numbered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import WIDE
-from ..operators.windows import spread
+from ..operators.windows import stretched
 
 
-def checkpoints(base: DataFrame, keys: tuple[str, ...], value: str, every: int, epoch: str = "epoch", order: tuple[str, ...] = ()) -> DataFrame:
-    """keys, epoch, order columns, n and total after each ``every`` rows of a key, in the order of epoch and ``order``.
+def checkpoints(base: DataFrame, keys: tuple[str, ...], value: str, every: int, epoch: str = "epoch", order: tuple[str, ...] = (), parted: bool = False) -> DataFrame:
+    """keys, epoch, order columns, n and total after each ``every`` rows of a key, in the order of epoch and ``order``, nulls last.
 
-    Rows that are equal in these are peers and are not parted: a checkpoint stands behind the last of them. Totals run
-    over peers dealt by range, so a key with a third of all rows is no task's work alone.
+    Rows that are equal in these are peers and are not parted: a checkpoint stands behind the last of them, as reads need
+    it. ``parted``: it stands after just so many rows, among peers too; they must be equal in the value, so name it in ``order``.
+
+    The rows pass one shuffle, narrow, and nothing else is kept of them. A key with many rows is dealt in stretches, so
+    one with a third of all rows is no task's work alone; what came before a stretch is a sum over the base.
     """
     if every < 1:
         raise ValueError("a checkpoint interval is 1 or more")
     place = (epoch, *order)
-    amount = F.sum(F.col(value).cast(WIDE)).alias("_sum")
-    peers = base.groupBy(*keys, *place).agg(amount, F.count(F.lit(1)).alias("_own"))
-    ways = tuple((c, "asc") for c in place)
-    run = spread(spread(peers, "sum", "_own", keys, ways, "n"), "sum", "_sum", keys, ways, "total")
-    run = run.withColumn("n", F.col("n").cast("long"))
-    reached = F.expr(f"n div {every}") > F.expr(f"(n - _own) div {every}")
-    return run.filter(reached).select(*keys, *place, "n", F.col("total").cast(WIDE).alias("total"))
+    if parted and value not in place:
+        raise ValueError("peers are parted only where the order has the value")
+    dealt = stretched(base.select(*dict.fromkeys((*keys, *place, value))), keys, place)
+    large, common = "_stretch" in dealt.columns, "_common" in dealt.columns
+    by = (*keys, "_stretch") if large else keys
+    amount, one = F.col(value).cast(WIDE), F.lit(1).cast("long")
+    rows = dealt
+    if common:
+        few = dealt.filter("_common").groupBy(*by, *place).agg(F.sum(amount).alias("_sum"), F.count(F.lit(1)).alias("_own"))
+        rows = dealt.filter("not _common").select(*by, *place, amount.alias("_sum"), one.alias("_own")).unionByName(few)
+        amount, one = F.col("_sum"), F.col("_own")
+    at = Window.partitionBy(*by).orderBy(*[F.col(c).asc_nulls_last() for c in place])  # the frame has all peers
+    run = rows.repartition(*by).select(
+        *by, *place, one.alias("_one"), F.sum(one).over(at).alias("n"), F.sum(amount).over(at).alias("total"), F.row_number().over(at).alias("_row"), F.rank().over(at).alias("_rank"), F.count(F.lit(1)).over(at).alias("_rows")
+    )
+    run = run.filter("_row = _rows").withColumn("_before", F.expr("n - _one * (_rows - _rank + 1)"))  # the last of its peers, and rows before them
+    if large:
+        sums = dealt.filter("_stretch is not null").groupBy(*by).agg(F.sum(F.col(value).cast(WIDE)).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+        earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+        past = sums.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.sum("_sum").over(earlier).alias("_sum"), F.sum("_n").over(earlier).alias("_n"))
+        run = run.join(F.broadcast(past), [run[c].eqNullSafe(past[f"_k{i}"]) for i, c in enumerate(by)], "left")
+        add = lambda x, more: F.coalesce(F.col(x) + F.col(more), F.col(x), F.col(more)).alias(x)
+        run = run.select(*keys, *place, add("n", "_n"), add("_before", "_n"), add("total", "_sum"))
+    run = run.filter(f"n div {every} > _before div {every}")
+    if parted:
+        run = run.withColumn("_at", F.explode(F.expr(f"sequence((_before div {every} + 1) * {every}, n div {every} * {every}, {every}L)")))
+        total = F.col("total") - F.coalesce(F.col(value).cast(WIDE) * (F.col("n") - F.col("_at")), F.lit(0))
+        run = run.withColumns({"n": F.col("_at"), "total": total})
+    return run.select(*keys, *place, "n", F.col("total").cast(WIDE).alias("total"))
 
 
 def _behind(place: tuple[str, ...], last: str) -> Column:
-    """Whether a row's place lies behind the one in the struct ``last``; nulls come first."""
+    """Whether a row's place lies behind the one in the struct ``last``; nulls come last."""
     out, same = F.lit(False), F.lit(True)
     for c in place:
         a, b = F.col(c), F.col(f"{last}.{c}")
-        later = F.coalesce(a > b, a.isNotNull() & b.isNull())
+        later = F.coalesce(a > b, a.isNull() & b.isNotNull())
         out = out | (same & later)
         same = same & a.eqNullSafe(b)
     return out

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from epochal.operators.windows import stretched
 from epochal.plans.contracts import Contract, Rung
 from epochal.plans.refusal import Refused
 from epochal.session import Engine
@@ -398,6 +399,42 @@ def test_checkpoints_read_a_suffix(spark):
     assert "Window" not in plan
 
 
+def test_checkpoints_shuffle_the_rows_once(spark):
+    base = spark.range(4000).selectExpr("id % 200 acct", "id % 37 epoch", "cast(id as string) place", "id % 91 - 45 amt")
+    with storage.owned(spark) as folder:
+        held = checkpoints.checkpoints(base, ("acct",), "amt", 16, order=("place",))
+        plan = held._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Join" not in plan
+        assert held.count() == 200 and sum(spark.read.parquet(f"{folder}/{name}").count() for name in storage.names(spark, folder)) == 0
+
+
+def test_checkpoints_of_large_keys(spark):
+    rng = random.Random(5)
+    some = lambda n: rng.choice([None, *range(n)])
+    rows = [(rng.choice([0, 0, 0, 1, None, *range(2, 9)]), some(40), str(some(30)), some(5)) for _ in range(3000)]
+    for more in (0, 3000):  # as many rows of one place
+        rows += [(0, 7, "7", 3)] * more
+        base = spark.createDataFrame(rows, "acct long, epoch long, place string, amt long").repartition(3)
+        dealt = stretched(base, ("acct",), ("epoch", "place", "amt"))
+        assert "_stretch" in dealt.columns and ("_common" in dealt.columns) == bool(more)
+        assert dealt.filter("acct = 0").select("_stretch").distinct().count() > 2
+        parted, whole = Counter(), Counter()
+        for acct in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == acct), key=lambda r: [(x is None, x) for x in r])
+            total = None
+            for n, row in enumerate(own, 1):
+                total = total if row[3] is None else (total or 0) + row[3]
+                if n % 16 == 0:
+                    parted[(*row, n, total)] += 1
+                if row != (own[n] if n < len(own) else None) and n // 16 > (n - own.count(row)) // 16:
+                    whole[(*row, n, total)] += 1
+        for way, expected in ((True, parted), (False, whole)):
+            held = checkpoints.checkpoints(base, ("acct",), "amt", 16, order=("place", "amt"), parted=way)
+            assert Counter(tuple(r) for r in held.collect()) == expected
+    with pytest.raises(ValueError, match="parted"):
+        checkpoints.checkpoints(base, ("acct",), "amt", 16, order=("place",), parted=True)
+
+
 def test_intermediate_tables(spark, monkeypatch):
     with storage.owned(spark) as folder:
         assert storage.written(spark.range(3)).count() == 3 and storage.names(spark, folder)

@@ -39,3 +39,15 @@ def test_query(spark, duck, name):
     theirs = duck.execute(ORACLES[name])
     names = [d[0] for d in theirs.description]
     assert canonical(mine.columns, [tuple(r) for r in mine.collect()]) == canonical(names, theirs.fetchall())
+
+
+def test_checkpoints_of_repeated_and_undated_lines(spark, duck, tmp_path):
+    """Of 20 equal lines, and of lines without a date or a price, row numbers are SQL's."""
+    odd = """SELECT * REPLACE (CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_shipdate END AS l_shipdate, CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_extendedprice END AS l_extendedprice) FROM lineitem
+        UNION ALL SELECT l.* FROM (SELECT * FROM lineitem ORDER BY ALL LIMIT 50) l, range(20)"""
+    duck.execute(f"COPY ({odd}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    own = duck.cursor()
+    own.execute(f"CREATE TEMP VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    mine = QUERIES["per_key_checkpoints"](spark, str(tmp_path))
+    theirs = own.execute(ORACLES["per_key_checkpoints"]).fetchall()
+    assert len(theirs) > 300 and canonical(mine.columns, [tuple(r) for r in mine.collect()]) == canonical(mine.columns, theirs)
