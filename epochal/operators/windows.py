@@ -86,11 +86,13 @@ def stretched(df: DataFrame, partition: tuple[str, ...], order: tuple[str, ...])
         return df
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
     cut = lambda i: F.get("_cuts", i)
-    found = F.aggregate(steps, F.lit(0), lambda i, step: F.when((i + step <= F.size("_cuts")) & (cut(i + step - 1) <= F.col("_at")), i + step).otherwise(i))  # cuts up to the row's place
-    out = df.join(F.broadcast(cuts), [df[c].eqNullSafe(cuts[f"_k{i}"]) for i, c in enumerate(partition)], "left").withColumn("_at", at)
-    out = out.withColumn("_stretch", F.when(F.col("_cuts").isNotNull(), found))
-    same = (cut(F.col("_stretch") - 1) == F.col("_at")) & (cut(F.col("_stretch") - 2) == F.col("_at"))
-    return out.select(*df.columns, "_stretch", *[F.coalesce(same, F.lit(False)).alias("_common")] * common)
+    up = lambda here: lambda i, step: F.when((i + step <= F.size("_cuts")) & (cut(i + step - 1) <= here), i + step).otherwise(i)
+    end = lambda here: lambda i: F.struct(i.alias("_stretch"), F.coalesce((cut(i - 1) == here) & (cut(i - 2) == here), F.lit(False)).alias("_common"))
+    found = F.transform(F.array(at), lambda here: F.aggregate(steps, F.lit(0), up(here), end(here)))  # a search for the cuts up to the row's place
+    none = F.array(F.struct(F.lit(None).cast("int").alias("_stretch"), F.lit(False).alias("_common")))
+    out = df.join(F.broadcast(cuts), [df[c].eqNullSafe(cuts[f"_k{i}"]) for i, c in enumerate(partition)], "left")
+    out = out.select(*df.columns, F.inline(F.when(F.col("_cuts").isNotNull(), found).otherwise(none)))  # inlined, it runs once a row
+    return out if common else out.drop("_common")
 
 
 def spread_row_number(df: DataFrame, partition: tuple[str, ...], order: tuple[tuple[str, str], ...], name: str) -> DataFrame:
